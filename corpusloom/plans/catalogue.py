@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from corpusloom.plans import orphan_queries
+
+_MODULES = (orphan_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for m in _MODULES for name, query in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.oracle_sql().items()}
