@@ -5,10 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import encoding, mixing
+from corpusloom.llm import encoding, mixing, near_duplicates, splitting
+from corpusloom.operators.components import connected_components
 from corpusloom.session import table
 
 
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "split_limits"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_pieces(spark, sf_dir).select("chunk_id").distinct()
+
+
+def _near_chunks(spark: SparkSession, sf_dir: str):
+    return near_duplicates.near_pairs(table(spark, sf_dir, "chunks"), "chunk_id", "text", least=0.6, shingle=3, least_words=40)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.pairs_of_keys(*_near_chunks(spark, sf_dir)).withColumnsRenamed({"key_a": "chunk_id_a", "key_b": "chunk_id_b"})
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chunk that has near copies or exact ones, with its class, its group and the links of its class."""
+    pairs, members = _near_chunks(spark, sf_dir)
+    pairs = near_duplicates.stage(pairs, "pairs")
+    groups = connected_components(pairs).withColumnsRenamed({"node": "class", "component": "group"})
+    links = pairs.selectExpr("explode(array(a, b)) as class").groupBy("class").agg(F.count("*").alias("links"))
+    sizes = members.groupBy("class").agg(F.count("*").alias("copies"))
+    known = sizes.join(groups, "class", "left").join(links, "class", "left").where("copies > 1 or links > 0")
+    known = known.select("class", "copies", F.coalesce("group", "class").alias("group"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return members.withColumnRenamed("key", "chunk_id").join(known, "class")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_ids(table(spark, sf_dir, "documents"))
 
@@ -31,9 +60,31 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1].withColumn("reached_share", F.round("reached_share", 6))
 
 
+_P1_FOUND = r"""
+select distinct c.chunk_id from chunks c join split_limits l on lower(trim(c.chunk_type)) = l.chunk_type
+where floor(len(regexp_extract_all(c.text, '[^\s\v\x1c-\x1f\x{85}\p{Z}]+')) * 13 / 10) > l.max_tokens
+"""
+
+_P5_FOUND = r"""
+with w as (
+  select distinct chunk_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from chunks where text is not null
+), g as (
+  select chunk_id, list_distinct([array_to_string(w[k : k + 2], ' ') for k in range(1, len(w) - 1)]) as g from w where len(w) >= 40
+), n as (
+  select chunk_id, len(g) as n, unnest(g) as gram from g
+)
+select a.chunk_id as chunk_id_a, b.chunk_id as chunk_id_b from n a join n b on a.gram = b.gram and a.chunk_id < b.chunk_id
+group by a.chunk_id, b.chunk_id, a.n, b.n having count(*) >= 0.6 * (a.n + b.n - count(*))
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_mixture, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_groups, p6_ids, p6_roundtrip, p7_mixture, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_roundtrip": "select doc_id, coalesce(text, '') as text from documents"}
+    return {
+        "p1_found": _P1_FOUND,
+        "p5_found": _P5_FOUND,
+        "p6_roundtrip": "select doc_id, coalesce(text, '') as text from documents",
+    }
