@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Fixed value: what separates words, as Unicode sees white space (no-break and other spaces included).
 BLANK = r"[\s\x1c-\x1f]"
 #: Fixed value: line ends, ``\r\n`` being one.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 TOKENS_PER_WORD = 1.3
 
 
