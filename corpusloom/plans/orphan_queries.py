@@ -26,14 +26,14 @@ def queries() -> dict:
     return {"p4_found": p4_found, "p4_report": p4_report}
 
 
-_FOUND = r"""
+_FOUND = """
 with refs as (
-  select 'chunks' as table_name, chunk_id as ref_key, 'doc_id' as field, 'd' as parent, lower(trim(doc_id, e' \t\n\r\u00a0')) as k, ingested_at as t from chunks
-  union all select 'relationships', cast(rel_id as varchar), 'source', 'e', lower(trim(source, e' \t\n\r\u00a0')), ingested_at from relationships
-  union all select 'relationships', cast(rel_id as varchar), 'target', 'e', lower(trim(target, e' \t\n\r\u00a0')), ingested_at from relationships
+  select 'chunks' as table_name, chunk_id as ref_key, 'doc_id' as field, 'd' as parent, lower(trim(doc_id, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) as k, ingested_at as t from chunks
+  union all select 'relationships', cast(rel_id as varchar), 'source', 'e', lower(trim(source, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), ingested_at from relationships
+  union all select 'relationships', cast(rel_id as varchar), 'target', 'e', lower(trim(target, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), ingested_at from relationships
 ), recs as (
-  select 'd' as parent, lower(trim(doc_id, e' \t\n\r\u00a0')) as k, loaded_at as a, deleted_at as d from corpus_docs
-  union all select 'e', lower(trim(id, e' \t\n\r\u00a0')), extracted_at, deleted_at from entities
+  select 'd' as parent, lower(trim(doc_id, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) as k, loaded_at as a, deleted_at as d from corpus_docs
+  union all select 'e', lower(trim(id, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), extracted_at, deleted_at from entities
 ), judged as (
   select r.table_name, r.ref_key, r.field, r.t, count(p.k) as n, count(*) filter (where p.a <= r.t) as n_arrived,
     count(*) filter (where p.a <= r.t and (p.d is null or p.d > r.t)) as n_live
