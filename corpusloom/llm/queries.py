@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import encoding, mixing, near_duplicates, splitting
+from corpusloom.llm import encoding, language, mixing, near_duplicates, splitting
 from corpusloom.operators.components import connected_components
 from corpusloom.session import table
 
@@ -78,8 +78,21 @@ group by a.chunk_id, b.chunk_id, a.n, b.n having count(*) >= 0.6 * (a.n + b.n -
 """
 
 
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language of every document, with its words and a confidence."""
+    docs = table(spark, sf_dir, "documents")
+    profiles = language.learn(docs, language.label_names(table(spark, sf_dir, "languages")))
+    judged = language.languages_of(docs, profiles, ["doc_id", "lang"])
+    return judged.withColumn("confidence", F.round("confidence", 4))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = language.label_names(table(spark, sf_dir, "languages"))
+    return language.label_cases(p8_languages(spark, sf_dir), names)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_groups, p6_ids, p6_roundtrip, p7_mixture, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_groups, p6_ids, p6_roundtrip, p7_mixture, p7_shares, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
