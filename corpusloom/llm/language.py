@@ -77,13 +77,18 @@ class Sentences:
         line_begins[1:] = newline
         line_begins[text_starts] = True
         line_starts = np.flatnonzero(line_begins[:n])
-        bars = np.add.reduceat((points == 124).astype(np.int32), line_starts) if n else np.zeros(0)
-        bangs = np.zeros(n, dtype=np.int32)
-        bangs[:-1] = (points[:-1] == 33) & (points[1:] == 33)
-        bangs = np.add.reduceat(bangs, line_starts) if n else bangs
-        padded = np.concatenate([points, [10, 10, 10]])
-        indented = (padded[line_starts] == 32) & (padded[line_starts + 1] == 32) | (padded[line_starts] == 91)
-        table = (bars >= 2) | (bangs >= 2) | indented
+        # a cell's border has blanks about it: ``a | b`` or ``a !! b``
+        blank = points == 32
+        border = np.zeros(n, dtype=np.int32)
+        border[1:-1] = (points[1:-1] == 124) & (blank[:-2] | blank[2:])
+        if n > 3:
+            border[1:-2] |= (points[1:-2] == 33) & (points[2:-1] == 33) & blank[:-3] & blank[3:]
+        borders = np.add.reduceat(border, line_starts) if n else border
+        near = np.arange(n) - np.repeat(line_starts, np.diff(np.append(line_starts, n))) < 30
+        colons = np.add.reduceat(((points == 58) & near).astype(np.int32), line_starts) if n else border
+        padded = np.concatenate([points, [10, 10]])
+        boxed = (padded[line_starts] == 32) & (padded[line_starts + 1] == 32) & (colons > 0) | (padded[line_starts] == 91)
+        table = (borders >= 2) | boxed
         self.prose = ~table[np.searchsorted(line_starts, self.starts, "right") - 1]
         word = np.zeros(n, dtype=np.int32)
         letter = symbol > 0

@@ -22,8 +22,8 @@ from corpusloom.llm.golay import LENGTH, near_codewords
 from corpusloom.session import stage
 
 SEGMENTS = 8
-#: Words are counted in so many slots. A slot in more than this part of all texts is of common words, which tell little.
-SLOTS, COMMON = 1 << 16, 0.01
+#: Words are counted in so many slots. A slot in more than this part of all texts, and in more than FEW, is of common words, which tell little.
+SLOTS, COMMON, FEW = 1 << 16, 0.001, 50
 #: With fewer telling words than this all words count as telling.
 LEAST_WORDS = 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -107,7 +107,7 @@ def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, shingle:
     counted = rows.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
     most = rows.select(F.lit(1)).groupBy().count().first()[0] * COMMON
     common = np.zeros(SLOTS, dtype=bool)
-    for r in counted.where(F.col("n") > F.lit(max(most, 2.0))).select("slot").collect():
+    for r in counted.where(F.col("n") > F.lit(max(most, float(FEW)))).select("slot").collect():
         common[r.slot] = True
     marked = spark.sparkContext.broadcast(common)
 
@@ -136,9 +136,11 @@ def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, shingle:
     a, b = keys.select("key", F.col("class").alias("a")), keys.select("key", F.col("class").alias("b"))
     candidates = stage(a.join(b, "key").where("a < b").select("a", "b").distinct(), "candidates")
 
-    # the texts of the classes that met somewhere, as sets of shingles
+    # one text of each class that met another, as a set of shingles: only these are split into words again
     met = candidates.selectExpr("explode(array(a, b)) as class").distinct()
-    texts = rows.select("class", "words").join(met, "class", "left_semi").groupBy("class").agg(F.first("words").alias("words"))
+    one = members.join(met, "class", "left_semi").groupBy("class").agg(F.min("key").alias("one")).alias("o")
+    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).alias("t").join(one, F.col("t.key").eqNullSafe(F.col("o.one"))).select("class", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    texts = texts.where(F.xxhash64("words") == F.col("class")).groupBy("class").agg(F.first("words").alias("words"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - (shingle - 1)), lambda k: F.xxhash64(F.slice("words", k, shingle))))
     texts = texts.select("class", grams.alias("grams"))
     pairs = candidates.join(texts.select(F.col("class").alias("a"), F.col("grams").alias("ga")), "a").join(texts.select(F.col("class").alias("b"), F.col("grams").alias("gb")), "b")
