@@ -32,9 +32,15 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 SALT = 16
 
 
-def words(text: Column) -> Column:
-    """Runs of letters or digits in lower case."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def word_hashes(text: Column) -> Column:
+    """A hash of each word of a text in order: of the runs of letters or digits in lower case."""
+    hashes = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
+    return F.array_remove(hashes, F.xxhash64(F.lit("")))
+
+
+def once(expression: Column) -> Column:
+    """As the only row of a generator: what follows reads the value instead of working the expression out again."""
+    return F.explode(F.array(expression))
 
 
 def _functions(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,10 +103,8 @@ def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, shingle:
     text count once; a key with several texts is in several classes. A null key is a key like any other.
     """
     spark = df.sparkSession
-    tokens = words(F.col(text))
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), tokens.alias("words"))
-    rows = rows.where(F.size("words") >= max(shingle, least_words or 0)).select("key", "text", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
-    rows = rows.select("key", "text", "words", F.xxhash64("words").alias("class"))
+    rows = df.select(F.col(key).alias("key"), once(word_hashes(F.col(text))).alias("words"))
+    rows = rows.where(F.size("words") >= max(shingle, least_words or 0, 1))
 
     # how many texts have a word of each slot: fixed size, whatever the vocabulary
     slots = F.array_distinct(F.transform("words", lambda h: F.shiftrightunsigned(h, 48).cast("int")))
@@ -127,7 +131,7 @@ def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, shingle:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["key", "class", "prints"])
 
     kind = df.schema[key].dataType.simpleString()
-    printed = stage(rows.select("key", "class", "words").mapInArrow(mark, f"key {kind}, class bigint, prints array<bigint>"), "fingerprints")
+    printed = stage(rows.select("key", F.xxhash64("words").alias("class"), "words").mapInArrow(mark, f"key {kind}, class bigint, prints array<bigint>"), "fingerprints")
     members = printed.select("key", "class").distinct()
     classes = printed.groupBy("class").agg(F.first("prints").alias("prints"))
     keys = classes.select("class", "prints").mapInArrow(_explode_keys, "key bigint, class bigint")
@@ -139,7 +143,7 @@ def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, shingle:
     # one text of each class that met another, as a set of shingles: only these are split into words again
     met = candidates.selectExpr("explode(array(a, b)) as class").distinct()
     one = members.join(met, "class", "left_semi").groupBy("class").agg(F.min("key").alias("one")).alias("o")
-    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).alias("t").join(one, F.col("t.key").eqNullSafe(F.col("o.one"))).select("class", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).alias("t").join(one, F.col("t.key").eqNullSafe(F.col("o.one"))).select("class", once(word_hashes(F.col("text"))).alias("words"))
     texts = texts.where(F.xxhash64("words") == F.col("class")).groupBy("class").agg(F.first("words").alias("words"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - (shingle - 1)), lambda k: F.xxhash64(F.slice("words", k, shingle))))
     texts = texts.select("class", grams.alias("grams"))
