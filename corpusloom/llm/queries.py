@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import encoding, language, mixing, near_duplicates, splitting
+from corpusloom.llm import encoding, language, mixing, names, near_duplicates, splitting
 from corpusloom.operators.components import connected_components
 from corpusloom.session import table
 
@@ -18,6 +18,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).select("chunk_id").distinct()
 
 
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity of every id of an athlete or venue."""
+    return names.resolve(table(spark, sf_dir, "entities"), {"athlete": "p", "venue": "v"})
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.id_pairs(p3_entities(spark, sf_dir))
+
+
 def _near_chunks(spark: SparkSession, sf_dir: str):
     return near_duplicates.near_pairs(table(spark, sf_dir, "chunks"), "chunk_id", "text", least=0.6, shingle=3, least_words=40)
 
@@ -87,12 +96,11 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = language.label_names(table(spark, sf_dir, "languages"))
-    return language.label_cases(p8_languages(spark, sf_dir), names)
+    return language.label_cases(p8_languages(spark, sf_dir), language.label_names(table(spark, sf_dir, "languages")))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_groups, p6_ids, p6_roundtrip, p7_mixture, p7_shares, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_entities, p5_found, p5_groups, p6_ids, p6_roundtrip, p7_mixture, p7_shares, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
