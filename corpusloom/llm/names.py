@@ -305,8 +305,11 @@ def resolve(entities: DataFrame, kinds: dict[str, str], most_rounds: int = 20) -
     people = names.where("kind = 'p'").select("name", F.filter(F.split(plain, r"[\s,]+"), lambda w: ~w.isin(list(TITLES)) & (F.length(w) > 1)).alias("w")).distinct()
     first = people.where("size(w) > 1").select(F.col("name"), F.expr("w[0]").alias("word")).union(people.where("size(w) > 1 and name like '%,%'").select("name", F.element_at("w", -1))).distinct()
     known = frozenset(fold(w) for w in _well_known(first, KNOWN)) - PARTICLES
-    places = names.where("kind = 'v'").select("name", F.explode(F.array_distinct(F.split(plain, r"[\s,]+"))).alias("word"))
-    vocabulary = frozenset(fold(w).replace("'", "") for w in _well_known(places.where("length(word) > 3"), KNOWN_PLACE_WORD)) - EMPTY_WORDS
+    # what a place is comes after where it is: words that are seldom the first one
+    places = names.where("kind = 'v'").select("name", F.filter(F.split(plain, r"[\s,]+"), lambda w: ~w.isin(list(EMPTY_WORDS)) & (F.length(w) > 3)).alias("w")).distinct()
+    placed = places.select("name", F.posexplode("w").alias("at", "word"))
+    later = placed.groupBy("word").agg(F.count_if(F.col("at") == 0).alias("first"), F.count_if(F.col("at") > 0).alias("later")).where("later > first")
+    vocabulary = frozenset(fold(w).replace("'", "") for w in _well_known(placed.join(later, "word", "left_semi"), KNOWN_PLACE_WORD))
 
     def read(frames):
         for frame in frames:
