@@ -99,6 +99,8 @@ def person(name: str, known: frozenset[str]) -> tuple[str, str, str] | None:
         if len(last) == 1 and (last[0] in known or (len(last[0]) == 1 and len(plain[0][0]) > 1)):
             plain = [last, *plain[:-1]]
     given, rest = plain[0], plain[1:]
+    if len(given) == 1 and given[0] not in known:  # a particle that has lost its blank
+        given = [next((given[0][: -len(p)] for p in PARTICLES if given[0].endswith(p) and given[0][: -len(p)] in known), given[0])]
     middle = "".join(w[0] for w in rest[:-1] if len(w) == 1 and len(w[0]) == 1)
     sur = [w for w in rest if not (len(w) == 1 and len(w[0]) == 1)] or [rest[-1]]
     if len(sur) == 1:
@@ -208,6 +210,9 @@ def _same_surname(a: str, b: str) -> int:
 def _same_kind(a: str, b: str) -> int:
     """2: the same words, some perhaps shortened; 1: one by its initials; 0: another kind of place."""
     x, y = a.split(), b.split()
+    # a national stadium is the town's stadium
+    if len(x) != len(y) and min(len(x), len(y)):
+        x, y = ([w for w in k if not _abbreviates(w, "national")] or k for k in (x, y))
     if len(x) == len(y):
         left = list(y)
         for word in x:

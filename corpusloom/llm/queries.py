@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import encoding, language, mixing, names, near_duplicates, splitting
+from corpusloom.llm import answers, encoding, language, mixing, names, near_duplicates, splitting
 from corpusloom.operators.components import connected_components
 from corpusloom.session import table
 
@@ -18,6 +18,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).select("chunk_id").distinct()
 
 
+def p2_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every defect that an answer shows."""
+    profiles = language.learn(table(spark, sf_dir, "documents"), language.label_names(table(spark, sf_dir, "languages")))
+    return answers.find_defects(table(spark, sf_dir, "predictions"), profiles)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.first_defect(p2_defects(spark, sf_dir))
+
+
 def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entity of every id of an athlete or venue."""
     return names.resolve(table(spark, sf_dir, "entities"), {"athlete": "p", "venue": "v"})
@@ -100,7 +110,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_entities, p5_found, p5_groups, p6_ids, p6_roundtrip, p7_mixture, p7_shares, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_defects, p3_found, p3_entities, p5_found, p5_groups, p6_ids, p6_roundtrip, p7_mixture, p7_shares, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
