@@ -171,7 +171,18 @@ def unclosed(answer: str) -> bool:
     rows = [x.strip() for x in answer.split("\n") if x.strip().startswith("|") or " | " in x]
     if len(rows) > 1 and rows[-1].count("|") < max(r.count("|") for r in rows[:-1]):
         return True
-    return re.search(r"(?:^|\n)\s*(?:[-*•]|\d{1,2}[.)])\s*$", answer) is not None
+    # a list's mark without an item, a label without a value
+    return re.search(r"\n\s*(?:[-*•]|\d{1,2}[.)])\s*$|[:：][*_\s]*$", answer) is not None
+
+
+#: Words between the parts of names and places.
+_BETWEEN = frozenset("of de du des da di del della van von der den af aus from silver bronze gold plata bronce argent silber für für".split())
+
+
+def names_only(text: str) -> bool:
+    """Nothing but names, numbers and events, such as is a whole answer without being a sentence."""
+    rest = re.findall(r"\b[^\W\d_][\w'-]*", _EVENTS.sub(" ", text.replace("’", "'")))
+    return sum(w[0].islower() and w not in _BETWEEN for w in rest) == 0
 
 
 _TOKEN = re.compile(r"[^\W\d]+(?:['’-][^\W\d]+)*['’]?|\d+(?:[.,:]\d+)*(?:st|nd|rd|th|e|er|re|\.º|º|ª)?|[^\w\s]")
@@ -226,6 +237,7 @@ def find_defects(df: DataFrame, profiles: Profiles, key: str = "pred_id", questi
             rest = [without_question(a, q) if a and q else a or "" for a, q in zip(answers, questions)]
             asked, _ = languages([running(q or "") for q in questions], known)
             told, words = languages([running(a) for a in rest], known)
+            lower = [len(re.findall(r"\b[^\W\d_]+", "".join(c if not c.isupper() else " 0" for c in running(a)))) for a in rest]
             out = []
             for k, (a, q) in enumerate(zip(answers, questions)):
                 found, whole, last = [], None, None
@@ -239,12 +251,12 @@ def find_defects(df: DataFrame, profiles: Profiles, key: str = "pred_id", questi
                     if known.languages and q and visible(q):
                         own, best = int(asked[k].argmax()), int(told[k].argmax())
                         margin = told[k][best] - told[k][own]
-                        if best != own and words[k] >= LANGUAGE_WORDS and margin >= max(LANGUAGE_MARGIN, MARGIN_A_WORD * words[k]):
+                        if best != own and lower[k] >= LANGUAGE_WORDS and margin >= max(LANGUAGE_MARGIN, MARGIN_A_WORD * words[k]):
                             found.append("other_language")
                     text = rest[k].strip()
                     if unclosed(a) or _OPEN_WORDS.search(text):
                         found.append("truncated")
-                    elif text and is_open(text):
+                    elif text and is_open(text) and not names_only(text):
                         parts = sentences_of(text)
                         whole, last = " ".join(shape(text)), tail(parts[-1]) if parts else None
                 out.append((frame["key"].iloc[k], found, whole, last))
