@@ -124,7 +124,7 @@ def refuses(answer: str) -> bool:
     """A phrase of declining, and no answer: nothing won, and no number or further sentence but advice."""
     text = re.sub(r"\s+", " ", answer).replace("’", "'")
     hit = _REFUSAL.search(text)
-    if not hit or _GIVEN.search(text):
+    if not hit or _GIVEN.search(re.sub(r"\bwho (?:won|took|received)\b", "", text)):
         return False
     # in what precedes it there is only a lead
     head = text[: hit.start()]
