@@ -16,6 +16,16 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, also inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def once(expression: Column) -> Column:
+    """As the only row of a generator: what follows reads the value instead of working the expression out again."""
+    return F.explode(F.array(expression))
+
+
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(_col(c), rf"(?U)^{BLANK}+|{BLANK}+$", "")
@@ -43,8 +53,7 @@ def approx_tokens(c: Column | str) -> Column:
 
 def lines(c: Column | str) -> Column:
     """The lines of a text; an end of line at its end opens no further one."""
-    parts = F.split(_col(c), LINE_END)
-    return F.when((F.size(parts) > 0) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(_col(c), LINE_END), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def clean_lines(c: Column | str) -> Column:
@@ -59,3 +68,52 @@ def is_table_row(x: Column) -> Column:
 def slug(c: Column | str, most: int = 40) -> Column:
     """Lower case, other runs than letters and digits of ASCII a hyphen, cut to ``most`` characters."""
     return F.regexp_replace(F.substring(F.regexp_replace(F.lower(F.trim(_col(c))), "[^a-z0-9]+", "-"), 1, most), "^-+|-+$", "")
+
+
+def paragraphs(c: Column | str) -> Column:
+    """The paragraphs of a text: what blank lines separate, stripped, none blank."""
+    return F.filter(F.transform(F.split(strip(c), r"(?U)\n\s*\n+"), strip), lambda x: x != "")
+
+
+def sentences(c: Column | str) -> Column:
+    """The sentences of a text: a mark, white space, then a capital, a digit or ``[``."""
+    return F.filter(F.transform(F.split(strip(c), r"(?U)(?<=[.!?])\s+(?=[A-Z0-9\[])"), strip), lambda x: x != "")
+
+
+def words(c: Column | str) -> Column:
+    return F.filter(F.split(_col(c), r"(?U)[\s\x1c-\x1f]+"), lambda x: x != "")
+
+
+def keyword_text(c: Column | str) -> Column:
+    """Lower case, everything but letters and digits of ASCII a blank."""
+    return F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]+", " ")
+
+
+def greedy_starts(sizes: Column, limit: int) -> Column:
+    """Where groups begin (0-based) if items are put together in order as long as their sizes sum to at most ``limit``."""
+    first = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("at"))
+
+    def step(acc: Column, size: Column) -> Column:
+        def grow(full: Column) -> Column:
+            starts = F.when(full, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"])
+            used = F.when(full, size.cast("long")).otherwise(acc["used"] + size)
+            return F.struct(starts.alias("starts"), used.alias("used"), (acc["at"] + 1).alias("at"))
+
+        return let((acc["at"] > 0) & (acc["used"] + size > limit), grow)
+
+    return F.aggregate(sizes, first, step, lambda acc: acc["starts"])
+
+
+def join_groups(items: Column, starts: Column, separator: str) -> Column:
+    """Each group of items that begins at one of ``starts``, joined. Both should be columns or bound by :func:`let`."""
+
+    def group(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.try_element_at(starts, k + 2), F.size(items))
+        return F.array_join(F.slice(items, start + 1, end - start), separator)
+
+    return F.when(F.size(items) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, group))
+
+
+def pack(items: Column, limit: int, separator: str) -> Column:
+    """Items joined in order as long as their approximate tokens sum to at most ``limit``."""
+    return let(items, lambda bound: let(greedy_starts(F.transform(bound, approx_tokens), limit), lambda starts: join_groups(bound, starts, separator)))
