@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import orphan_queries
+from corpusloom.plans import orphan_queries, profile_queries
 
-_MODULES = (orphan_queries,)
+_MODULES = (profile_queries, orphan_queries)
 
 
 def queries() -> dict:
