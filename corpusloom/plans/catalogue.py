@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import orphan_queries, profile_queries
+from corpusloom.plans import graph_queries, orphan_queries, profile_queries, retrieval_queries
 
-_MODULES = (profile_queries, orphan_queries)
+_MODULES = (profile_queries, retrieval_queries, graph_queries, orphan_queries)
 
 
 def queries() -> dict:
