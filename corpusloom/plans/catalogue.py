@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import graph_queries, orphan_queries, profile_queries, retrieval_queries
+from corpusloom.plans import answer_queries, graph_queries, orphan_queries, profile_queries, retrieval_queries, source_queries
 
-_MODULES = (profile_queries, retrieval_queries, graph_queries, orphan_queries)
+_MODULES = (source_queries, profile_queries, retrieval_queries, graph_queries, answer_queries, orphan_queries)
 
 
 def queries() -> dict:
