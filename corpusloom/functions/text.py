@@ -46,9 +46,9 @@ def word_count(c: Column | str) -> Column:
 
 
 def approx_tokens(c: Column | str) -> Column:
-    """1.3 tokens a word, rounded down, and at least 1; 0 for an empty text."""
+    """1.3 tokens a word, rounded down, and at least 1; 0 for an empty text, null for a null one."""
     c = _col(c)
-    return F.when(F.length(c) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(word_count(c) * F.lit(TOKENS_PER_WORD)).cast("int")))
+    return F.when(F.length(c) == 0, F.lit(0)).when(c.isNotNull(), F.greatest(F.lit(1), F.floor(word_count(c) * F.lit(TOKENS_PER_WORD)).cast("int")))
 
 
 def lines(c: Column | str) -> Column:

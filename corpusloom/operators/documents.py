@@ -16,8 +16,8 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in key and c not in order and not df.schema[c].dataType.simpleString().startswith("map")]
     kept = [c for c in df.columns if c not in key]
     rows = df.where(" and ".join(f"`{c}` is not null" for c in key))
-    best = rows.groupBy(*key).agg(F.max_by(F.struct(*kept), F.struct(*order, *rest)).alias("r"))
-    return best.select(*key, "r.*").select(*df.columns)
+    best = rows.groupBy(*key).agg(F.max_by(F.struct(*kept), F.struct(*order, *rest)).alias("_row"))
+    return best.select(*key, "_row.*").select(*df.columns)
 
 
 def live_documents(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ def words(c: str) -> str:
 
 
 def tokens(c: str) -> str:
-    return f"case when {c} = '' then 0 else greatest(1, cast(floor({words(c)} * 1.3::double) as int)) end"
+    return f"case when {c} = '' then 0 when {c} is not null then greatest(1, cast(floor({words(c)} * 1.3::double) as int)) end"
 
 
 def strip(c: str) -> str:
