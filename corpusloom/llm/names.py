@@ -222,7 +222,7 @@ def _same_kind(a: str, b: str) -> int:
             left.remove(hit)
         else:
             return 2 if all(len(w) > 1 for w in x + y) else 1
-    for short, full in ((x, y), (y, x)):
+    for short, full in ((a.split(), b.split()), (b.split(), a.split())):
         if len(short) == 1 and 2 <= len(short[0]) <= 4 and len(full) >= 2:
             letters = sorted(w[0] for w in full)
             if sorted(short[0]) == letters or sorted(short[0][1:]) == letters:

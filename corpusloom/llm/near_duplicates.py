@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import once
 from corpusloom.llm.golay import LENGTH, near_codewords
 from corpusloom.session import stage
 
@@ -38,11 +39,6 @@ def word_hashes(text: Column) -> Column:
     return F.array_remove(hashes, F.xxhash64(F.lit("")))
 
 
-def once(expression: Column) -> Column:
-    """As the only row of a generator: what follows reads the value instead of working the expression out again."""
-    return F.explode(F.array(expression))
-
-
 def _functions(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     return rng.integers(1 << 63, (1 << 64) - 1, n, dtype=np.uint64, endpoint=True) | np.uint64(1), rng.integers(0, (1 << 64) - 1, n, dtype=np.uint64, endpoint=True)
