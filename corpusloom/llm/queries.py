@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import answers, encoding, language, mixing, names, near_duplicates, splitting
 from corpusloom.operators.components import connected_components
-from corpusloom.session import table
+from corpusloom.session import spread, table
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,12 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.withColumnRenamed("key", "chunk_id").join(known, "class")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding.encode_ids(table(spark, sf_dir, "documents"))
+    return encoding.encode_ids(_texts(spark, sf_dir))
 
 
 def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +71,7 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf_dir: str):
-    docs = table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     return mixing.mixture(encoding.count_tokens(docs, ["source", "doc_id"]), table(spark, sf_dir, "mix_targets"))
 
 
@@ -99,7 +103,7 @@ group by a.chunk_id, b.chunk_id, a.n, b.n having count(*) >= 0.6 * (a.n + b.n -
 
 def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every language of every document, with its words and a confidence."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     profiles = language.learn(docs, language.label_names(table(spark, sf_dir, "languages")))
     judged = language.languages_of(docs, profiles, ["doc_id", "lang"])
     return judged.withColumn("confidence", F.round("confidence", 4))
