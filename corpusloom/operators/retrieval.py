@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.documents import latest
+from corpusloom.session import stage
 
 #: Rows of one term are spread over so many tasks.
 SALT = 16
@@ -45,17 +46,18 @@ def tfidf_search(docs: DataFrame, questions: DataFrame, k: int, key: str = "chun
     """qid, key, score, rank: the ``k`` texts nearest to each question (qid, question) by the cosine of TF-IDF vectors.
 
     Ties go to the smaller key. Texts that share no term with a question have no score and do not come out. All
-    postings carry their text's norm; those of frequent terms are spread over SALT tasks.
+    postings carry their text's norm; those of frequent terms are spread over SALT tasks. Counts and postings are written once and read by each of the steps that need them.
     """
     n = docs.count()
-    counts = term_counts(docs, key, text)
+    counts = stage(term_counts(docs, key, text), "counts")
     idf = inverse_frequencies(counts, n)
-    weighted = counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    weighted = stage(counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w")), "postings")
     norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     asked = term_counts(questions, "qid", "question").join(idf, "term").select("qid", "term", (F.col("tf") * F.col("idf")).alias("wq"))
     lengths = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("q_norm"))
     salted = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    postings = weighted.select("*", F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int").alias("salt"))
+    # only postings of terms that are asked for go on; AQE broadcasts these terms if they turn out to be few
+    postings = weighted.join(asked.select("term").distinct(), "term", "left_semi").select("*", F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int").alias("salt"))
     dots = postings.join(salted, ["term", "salt"]).groupBy("qid", key).agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
     scored = dots.join(norms, key).join(lengths, "qid").select("qid", key, F.round(F.col("dot") / F.col("norm") / F.col("q_norm"), DIGITS).alias("score"))
     return ranked(scored, k, key)

@@ -9,7 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import chunking, documents, incremental, integrity
 from corpusloom.plans import sql as S
 from corpusloom.schemas import CHUNK_TYPES, SECTION_NAMES, WORDS_PER_PIECE
-from corpusloom.session import table
+from corpusloom.session import spread, table
 
 FIELDS = ["doc_id", "title", "text", "url", "wikidata_qid", "wikipedia_pageid", "approx_tokens"]
 
@@ -100,7 +100,7 @@ def pack_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _corpus_chunks(spark, d):
-    docs = _docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    docs = spread(_docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
     return docs, chunking.chunk_documents(docs)
 
 
