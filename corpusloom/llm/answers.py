@@ -21,11 +21,12 @@ from corpusloom.session import stage
 #: In the order in which one is chosen where an answer has several.
 DEFECTS = ("empty", "copies_question", "refusal", "other_language", "truncated")
 #: Words that stand for an answer that isn't there, and labels.
-PLACEHOLDERS = frozenset("na n/a n.a nan none null nil tbd tba todo undefined empty noanswer noresponse blank missing placeholder failedtogenerateanswer error pending notavailable noanswergiven norespuesta sinrespuesta keineantwort pasderéponse".split())
+PLACEHOLDERS = frozenset("na n/a n.a nan none null nil tbd tba todo undefined empty noanswer noresponse blank missing placeholder error pending notavailable noanswergiven norespuesta sinrespuesta keineantwort pasderéponse".split())
 LABELS = r"(?:final answer|answer|response|output|result|antwort|réponse|reponse|respuesta|risposta|resposta|question|frage|pregunta|ans|q|a)"
 #: Leads, and phrases of declining in the languages of the corpus.
 LEADS = r"(?:(?:i'?m |i am |we are )?(?:so |very |truly )?(?:sorry|afraid)|i apologi[sz]e|my apologies|unfortunately|regrettably|es tut mir leid|leider|lo siento|lamento|lamentablemente|desafortunadamente|je suis désolée?|désolée?|malheureusement|mi dispiace|purtroppo|sinto muito|infelizmente|het spijt me|helaas|przykro mi|niestety|к сожалению|извините|as an? (?:assistant|ai|language model))"
 REFUSALS = [
+    r"^\W*(?:failed|unable) to (?:generate|produce|find|give)\b",
     r"\bi(?: a|')?m (?:not able|unable|not in a position) to\b", r"\b(?:i|we) (?:can ?not|can'?t|could ?n'?t|could not|am not able to) (?:\w+ ){0,2}?(?:determine|answer|tell|say|provide|help|find|identify|confirm|verify|give|assist|comment|speculate|establish)",
     r"\b(?:i|we) (?:do not|don'?t) (?:know|have (?:enough|any|sufficient|that|the|access))", r"\b(?:i|we)(?:'d| would) rather not\b", r"\bi (?:must|have to|need to) (?:decline|refuse|abstain|pass)\b", r"\bi (?:won'?t|will not) (?:guess|speculate|answer)", r"\b(?:decline|refuse) to (?:answer|say|comment|speculate)",
     r"\b(?:it is|it'?s) (?:not possible|impossible|unclear|not clear) (?:to (?:tell|say|determine|know|answer|identify)|from)", r"\b(?:documents?|context|passages?|excerpts?|corpus|texts?|sources?|material|information)\b[^.!?]{0,40}\b(?:do(?:es)? not|do(?:es)?n'?t|did not) (?:\w+ )?(?:contain|mention|provide|say|state|include|specify|allow|give|cover|list)",
@@ -175,8 +176,8 @@ def unclosed(answer: str) -> bool:
     return re.search(r"\n\s*(?:[-*•]|\d{1,2}[.)])\s*$|[:：][*_\s]*$", answer) is not None
 
 
-#: Words between the parts of names and places.
-_BETWEEN = frozenset("of de du des da di del della van von der den af aus from silver bronze gold plata bronce argent silber für für".split())
+#: Words between the parts of names and places, and units.
+_BETWEEN = frozenset("of de du des da di del della van von der den af aus from silver bronze gold plata bronce argent silber seconds secondes segundos sekunden secondi segundi metres meters mètres metros meter metern metri points puntos punkte punkten punti pontos minutes minuten minutos nations naciones nationen".split())
 
 
 def names_only(text: str) -> bool:

@@ -26,7 +26,7 @@ def test_no_copies(text):
     assert not A.copies(text, Q)
 
 
-@pytest.mark.parametrize("text", ["I cannot answer that question.", "Sorry - there isn't enough information to say.", "I don't know", "Lo siento, pero no lo sé.", "Je ne sais pas.", "Ich weiß es nicht.", "I apologise, but I cannot determine who won from this context!", "Based on the documents given, it is not possible to tell from the retrieved text."])
+@pytest.mark.parametrize("text", ["I cannot answer that question.", "Sorry - there isn't enough information to say.", "I don't know", "Failed to generate answer", "Lo siento, pero no lo sé.", "Je ne sais pas.", "Ich weiß es nicht.", "I apologise, but I cannot determine who won from this context!", "Based on the documents given, it is not possible to tell from the retrieved text."])
 def test_refuses(text):
     assert A.refuses(text)
 
@@ -48,7 +48,7 @@ def test_closed(text):
 
 def test_spark(spark):
     good = [(k, Q, f"The medal went to Ann{'b' * k} Berg of Norvask, who finished in {k}.5 seconds.") for k in range(30)]
-    rows = [*good, (100, Q, None), (101, Q, Q), (102, Q, "I don't know."), (103, Q, "The medal went to Ann Berg of Norvask, who finished"), (104, Q, "The medal went to Ann Berg of Norvask, who finished in 3.5 seconds"), (105, None, "Ann Berg"), (106, None, None), (None, Q, ""), (107, Q, "The medal went to (Ann"), (107, Q, "The medal went to (Ann"), (108, Q, "word " * 20_000 + "end.")]
+    rows = [*good, (100, Q, None), (101, Q, Q), (102, Q, "I don't know."), (103, Q, "The medal went to Ann Berg of Norvask, who finished"), (104, Q, "The medal went to Ann Berg of Norvask, who finished in 3.5 seconds"), (105, None, "Ann Berg"), (106, None, None), (None, Q, ""), (107, Q, "The medal went to (Ann"), (107, Q, "The medal went to (Ann"), (109, Q, "Ann Berg, Norvask – 19.50 seconds"), (108, Q, "word " * 20_000 + "end.")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "pred_id long, question string, predicted_answer string, found string")
     defects = A.find_defects(df, Profiles({}))
     got = {r.pred_id: r.defect for r in A.first_defect(defects).collect()}
