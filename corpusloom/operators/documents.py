@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import clean_lines, is_table_row
+from corpusloom.functions.text import clean_lines, is_table_row, strip
 
 
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -33,7 +33,7 @@ def record_errors(docs: DataFrame) -> DataFrame:
     fields = ("doc_id", "title", "text")
     times = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1")
     missing = F.greatest(*[F.col(c).isNull() for c in fields])
-    blank = F.greatest(*[F.trim(F.col(c)) == "" for c in fields])
+    blank = F.greatest(*[strip(c) == "" for c in fields])
     error = F.when(missing, "missing").when(blank, "blank").when(F.col("times") > 1, "duplicate").otherwise("ok")
     return docs.join(times, "doc_id", "left").select("doc_id", "title", error.alias("error"))
 

@@ -17,7 +17,7 @@ def chunk_errors(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     times = chunks.where("chunk_id is not null").groupBy("chunk_id").agg(F.count("*").alias("times")).where("times > 1")
     error = (
         F.when(F.greatest(*[F.col(c).isNull() for c in need]), "missing")
-        .when((F.trim("text") == "") | (F.trim("chunk_id") == "") | (F.trim("title") == ""), "blank")
+        .when((T.strip("text") == "") | (T.strip("chunk_id") == "") | (T.strip("title") == ""), "blank")
         .when(~F.col("chunk_type").isin(*CHUNK_TYPES), "type")
         .when((F.col("approx_tokens") < 1) | (F.col("chunk_index") < 0), "range")
         .when(F.col("known").isNull(), "unknown_doc")

@@ -28,7 +28,7 @@ def profile_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_summary(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "corpus_docs").agg(F.count("*").alias("n_rows"), F.countDistinct("doc_id").alias("n_ids"), F.count_if(F.trim("text") == "").alias("n_blank"), F.count_if(F.col("deleted_at").isNotNull()).alias("n_deleted"))
+    return table(spark, d, "corpus_docs").agg(F.count("*").alias("n_rows"), F.countDistinct("doc_id").alias("n_ids"), F.count_if(T.strip("text") == "").alias("n_blank"), F.count_if(F.col("deleted_at").isNotNull()).alias("n_deleted"))
 
 
 def profile_missing(spark: SparkSession, d: str) -> DataFrame:
@@ -296,7 +296,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "approx_tokens": f"select doc_id, {S.tokens('text')} as tokens from documents",
         "profile_tokens": f"select source, count(*) as n, {_STATS} from (select lower(trim(source)) as source, {S.tokens('text')} as t, n_chars as c from documents) group by source",
-        "profile_summary": "select count(*) as n_rows, count(distinct doc_id) as n_ids, count(*) filter (where trim(text) = '') as n_blank, count(deleted_at) as n_deleted from corpus_docs",
+        "profile_summary": f"select count(*) as n_rows, count(distinct doc_id) as n_ids, count(*) filter (where {S.strip('text')} = '') as n_blank, count(deleted_at) as n_deleted from corpus_docs",
         "profile_missing": " union all ".join(f"select '{c}' as field, count(*) filter (where {c} is null or {c}::varchar = '') as n_missing from corpus_docs" for c in FIELDS),
         "profile_dups": " union all ".join(f"select '{c}' as field, {c}::varchar as value, count(*) as n from corpus_docs where {c} <> '' group by all having count(*) > 1" for c in ("doc_id", "title", "wikidata_qid")),
         "structure_audit": f"select lower(trim(source)) as source, {_STRUCTURE} from documents group by 1",
@@ -304,7 +304,7 @@ def oracle_sql() -> dict[str, str]:
         "longest_docs": f"select doc_id, title, {S.tokens('text')} as tokens from documents order by tokens desc nulls last, doc_id limit 10",
         "content_hash": "select doc_id, sha256(text) as hash from documents",
         "ingest_corrupt": "select event_type, count(*) as n, count(*) filter (where not json_valid(props)) as n_corrupt, sum(case when json_valid(props) then (props->>'k')::bigint end)::bigint as sum_k from events group by all",
-        "record_validation": "select doc_id, title, case when doc_id is null or title is null or text is null then 'missing' when trim(doc_id) = '' or trim(title) = '' or trim(text) = '' then 'blank' when count(*) over (partition by doc_id) > 1 then 'duplicate' else 'ok' end as error from corpus_docs",
+        "record_validation": f"select doc_id, title, case when doc_id is null or title is null or text is null then 'missing' when {S.strip('doc_id')} = '' or {S.strip('title')} = '' or {S.strip('text')} = '' then 'blank' when count(*) over (partition by doc_id) > 1 then 'duplicate' else 'ok' end as error from corpus_docs",
         "normalize_lines": f"select doc_id, len(l) as n_lines, len(array_to_string(l, chr(10))) as n_chars from (select doc_id, {S.clean_lines('text')} as l from documents where text is not null)",
         "heading_lines": f"select lower(x) as heading, count(*) as n from (select unnest({S.clean_lines('text')}) as x from documents) where {heading} group by all",
         "table_like": f"select doc_id, n as n_rows, n >= 2 or (n >= 1 and contains(text, 'Results table')) as table_like from (select doc_id, text, len(list_filter({S.clean_lines('text')}, lambda x: {S.table_row('x')})) as n from documents where text is not null)",
@@ -317,7 +317,7 @@ def oracle_sql() -> dict[str, str]:
         "infobox_split": f"{_BOX} select doc_id, len(box) as box_lines, len(body) as body_lines from b",
         "sections": _SECTIONS,
         "chunk_validation": f"""select chunk_id, case when chunk_id is null or doc_id is null or title is null or chunk_index is null or chunk_type is null or section is null or section_path is null or approx_tokens is null or text is null then 'missing'
-            when trim(text) = '' or trim(chunk_id) = '' or trim(title) = '' then 'blank' when chunk_type not in ('text', 'table', 'infobox') then 'type' when approx_tokens < 1 or chunk_index < 0 then 'range'
+            when {S.strip('text')} = '' or {S.strip('chunk_id')} = '' or {S.strip('title')} = '' then 'blank' when chunk_type not in ('text', 'table', 'infobox') then 'type' when approx_tokens < 1 or chunk_index < 0 then 'range'
             when coalesce({S.key('doc_id')}, '') not in (select {S.key('doc_id')} from corpus_docs where doc_id is not null) then 'unknown_doc' when count(*) over (partition by chunk_id) > 1 then 'duplicate' else 'ok' end as error from chunks""",
         "chunk_page": "select distinct doc_id, chunk_index, chunk_id from chunks order by doc_id nulls first, chunk_index nulls first, chunk_id nulls first limit 100 offset 100",
         "chunk_point": "select distinct chunk_id, doc_id, chunk_type, text from chunks where chunk_id = 'Q4100_chunk_0001'",
