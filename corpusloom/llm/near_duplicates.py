@@ -22,11 +22,11 @@ from corpusloom.functions.text import once
 from corpusloom.llm.golay import LENGTH, near_codewords
 from corpusloom.session import stage
 
-SEGMENTS = 8
+SEGMENTS = 11
 #: Words are counted in so many slots. A slot in more than this part of all texts, and in more than FEW, is of common words, which tell little.
 SLOTS, COMMON, FEW = 1 << 16, 0.001, 50
-#: With fewer telling words than this all words count as telling.
-LEAST_WORDS = 4
+#: With fewer telling words than this all words count as telling. A higher number would part a text from its copy that lost one of them.
+LEAST_WORDS = 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Rows of one group are spread over so many tasks where pairs of its members are listed.
