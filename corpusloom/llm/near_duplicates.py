@@ -6,14 +6,16 @@ segment is decoded to the codewords near it, one or six, whose indices are its k
 differ in up to two bits share one for certain. By the pigeonhole principle a pair with few errors in
 all has a segment with few errors, so it meets under some key. What meets is verified on the texts.
 
-Twelve bits can't keep hundreds of millions of texts apart, so each segment's keys carry one telling word
-of the text besides: of the words that few texts have, that of the smallest hash under the segment's own
-function. A pair shares it as often as it shares such words, and a bucket is as small as the word is rare.
+Twelve bits can't keep hundreds of millions of texts apart, so a segment's keys carry words of the text
+besides, those of smallest hash under the segment's own functions. Each text has keys of two kinds: with one of
+its telling words, which few texts have, and with several of its common ones. A pair whose shared telling words
+are lost to edits, or that is of a family so large that all its words are common, meets under the second kind.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +25,10 @@ from corpusloom.llm.golay import LENGTH, near_codewords
 from corpusloom.session import stage
 
 SEGMENTS = 11
-#: Words are counted in so many slots. A slot in more than this part of all texts, and in more than FEW, is of common words, which tell little.
-SLOTS, COMMON, FEW = 1 << 16, 0.001, 50
-#: With fewer telling words than this all words count as telling. A higher number would part a text from its copy that lost one of them.
-LEAST_WORDS = 1
+#: A word in more than this part of all different texts (and in more than one, for only then it can be shared) is common and tells little. No table has more such words than a text has on average, over this part.
+COMMON = 0.001
+#: A key of common words carries those of so many segments, its own and the next.
+TOGETHER = 3
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Rows of one group are spread over so many tasks where pairs of its members are listed.
@@ -44,49 +46,64 @@ def _functions(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1 << 63, (1 << 64) - 1, n, dtype=np.uint64, endpoint=True) | np.uint64(1), rng.integers(0, (1 << 64) - 1, n, dtype=np.uint64, endpoint=True)
 
 
-def fingerprints(hashes: np.ndarray, starts: np.ndarray, telling: np.ndarray, telling_starts: np.ndarray, segments: int = SEGMENTS, seed: int = 5) -> np.ndarray:
-    """(texts, segments) of uint64: 41 bits of the segment's word, then its 23 bits.
-
-    ``hashes`` (uint64) are those of all texts' words, each text beginning at ``starts``; ``telling`` and
-    ``telling_starts`` the same of the words that may be a segment's. No text is without any.
-    """
-    out = np.zeros((len(starts), segments), dtype=np.uint64)
+def _least(words: np.ndarray, owners: np.ndarray, weights: np.ndarray, texts: int, segments: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts have any of ``words`` (uint32, with their text's number in order), and (texts, segments) of one word each, drawn by weight, the same in all texts."""
+    out = np.zeros((texts, segments), dtype=np.uint64)
+    counts = np.bincount(owners, minlength=texts)
+    have = counts > 0
+    if len(words):
+        starts = (np.cumsum(counts) - counts)[have]
+        factors, terms = _functions(segments, seed)
+        for k in range(segments):
+            mixed = (words.astype(np.uint64) + terms[k]) * factors[k]
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+            least = np.minimum.reduceat(-np.log(((mixed >> np.uint64(11)) + np.uint64(1)) * 2.0**-53) / weights, starts)
+            out[have, k] = least.astype(np.float32).view(np.uint32)  # fewer digits: logarithms may differ in the last from machine to machine
+    return have, out
+
+
+def segments_of(words: np.ndarray, starts: np.ndarray, segments: int = SEGMENTS, seed: int = 5) -> np.ndarray:
+    """(texts, segments) of 23 bits. ``words`` (uint32) are those of all texts, each text beginning at ``starts``; none is without any."""
+    out = np.zeros((len(starts), segments), dtype=np.int64)
     if not len(starts):
         return out
-    factors, terms = _functions(segments * (LENGTH + 1), seed)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    for k in range(segments * (LENGTH + 1)):
-        segment, bit = divmod(k, LENGTH + 1)
-        if bit == LENGTH:
-            least = np.minimum.reduceat((telling + terms[k]) * factors[k], telling_starts)
-            out[:, segment] |= (least * _MIX) >> np.uint64(LENGTH) << np.uint64(LENGTH)
-        else:
-            mixed = short + np.uint32(terms[k] >> np.uint64(32))
-            mixed *= np.uint32(factors[k] & np.uint64(0xFFFFFFFF))
-            least = np.minimum.reduceat(mixed, starts).astype(np.uint64)
-            out[:, segment] |= ((least + np.uint64(k)) * _MIX >> np.uint64(63)) << np.uint64(bit)
+    factors, terms = _functions(segments * LENGTH, seed)
+    for k in range(segments * LENGTH):
+        segment, bit = divmod(k, LENGTH)
+        mixed = words + np.uint32(terms[k] >> np.uint64(32))
+        mixed *= np.uint32(factors[k] & np.uint64(0xFFFFFFFF))
+        least = np.minimum.reduceat(mixed, starts).astype(np.uint64)
+        out[:, segment] |= ((least + np.uint64(k)) * _MIX >> np.uint64(63)).astype(np.int64) << bit
     return out
 
 
-def keys_of(fingerprint: np.ndarray) -> np.ndarray:
-    """The keys of each row of segments, -1 for none: a hash of segment number, word and codeword index."""
+def keys_of(bits: np.ndarray, words: np.ndarray, kind: int) -> np.ndarray:
+    """The keys of each row of segments, -1 for none: a hash of the kind of key, segment number, words and codeword index."""
     out = []
-    for k in range(fingerprint.shape[1]):
-        code = near_codewords((fingerprint[:, k] & np.uint64((1 << LENGTH) - 1)).astype(np.int64))
-        word = fingerprint[:, k] >> np.uint64(LENGTH)
-        mixed = (word[:, None] * _GOLD + code.astype(np.uint64) * np.uint64(8) + np.uint64(k)) * _MIX
+    for k in range(bits.shape[1]):
+        code = near_codewords(bits[:, k])
+        mixed = (words[:, k][:, None] * _GOLD + code.astype(np.uint64) * np.uint64(64) + np.uint64(2 * k + kind)) * _MIX
         mixed = (mixed ^ (mixed >> np.uint64(31))) & np.uint64((1 << 63) - 1)
         out.append(np.where(code >= 0, mixed.astype(np.int64), -1))
     return np.concatenate(out, axis=1)
 
 
-def _explode_keys(batches):
-    for batch in batches:
-        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        keys = keys_of(flat)
-        yes = keys >= 0
-        yield pa.RecordBatch.from_arrays([pa.array(keys[yes]), pa.array(np.broadcast_to(ids[:, None], keys.shape)[yes])], names=["key", "class"])
+def all_keys(words: np.ndarray, owners: np.ndarray, starts: np.ndarray, parts: np.ndarray, segments: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, texts): all keys of all texts and whose they are. ``parts``: in what part of all texts each of ``words`` is if it is common, else 0."""
+    bits = segments_of(words, starts, segments)
+    keys, whose = [], []
+    common = parts > 0
+    # rarer common words come first more often, yet no single one can outweigh all others of its text
+    weights = 1 / np.sqrt(np.where(common, parts, 1.0))
+    for kind, take, seed in ((0, ~common, 6), (1, common, 7)):
+        have, least = _least(words[take], owners[take], weights[take], len(starts), segments, seed)
+        if kind:
+            least = sum(np.roll(least, -k, axis=1) * np.uint64(2 * k + 1) for k in range(TOGETHER))
+        found = keys_of(bits[have], least[have], kind)
+        yes = found >= 0
+        keys.append(found[yes])
+        whose.append(np.broadcast_to(np.flatnonzero(have)[:, None], found.shape)[yes])
+    return np.concatenate(keys), np.concatenate(whose)
 
 
 def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, shingle: int = 5, least_words: int | None = None, segments: int = SEGMENTS) -> tuple[DataFrame, DataFrame]:
@@ -102,35 +119,33 @@ def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, shingle:
     rows = df.select(F.col(key).alias("key"), once(word_hashes(F.col(text))).alias("words"))
     rows = rows.where(F.size("words") >= max(shingle, least_words or 0, 1))
 
-    # how many texts have a word of each slot: fixed size, whatever the vocabulary
-    slots = F.array_distinct(F.transform("words", lambda h: F.shiftrightunsigned(h, 48).cast("int")))
-    counted = rows.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
-    most = rows.select(F.lit(1)).groupBy().count().first()[0] * COMMON
-    common = np.zeros(SLOTS, dtype=bool)
-    for r in counted.where(F.col("n") > F.lit(max(most, float(FEW)))).select("slot").collect():
-        common[r.slot] = True
-    marked = spark.sparkContext.broadcast(common)
+    rows = rows.select("key", F.xxhash64("words").alias("class"), F.array_distinct(F.transform("words", lambda h: F.shiftright(h, 32).cast("int"))).alias("words"))
+    members = stage(rows.select("key", "class").distinct(), "members")
+    classes = stage(rows.groupBy("class").agg(F.first("words").alias("words")), "classes")
+
+    # the words that more than a given part of all classes have; copies and rows delivered again count once
+    counted = classes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    total = classes.count()
+    frequent = counted.where(F.col("n") > F.lit(max(total * COMMON, 1.0))).toPandas()
+    frequent = pd.Series(frequent["n"].to_numpy(dtype=float) / max(total, 1), frequent["word"].to_numpy(dtype=np.int32).view(np.uint32)).sort_index()
+    marked = spark.sparkContext.broadcast((frequent.index.to_numpy(), frequent.to_numpy()))
 
-    def mark(batches):
+    def find_keys(batches):
+        known, part = marked.value
         for batch in batches:
-            column = batch.column(2)
-            hashes = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            column = batch.column(1)
+            words = column.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
             offsets = column.offsets.to_numpy().astype(np.int64)
             offsets = offsets - offsets[0]
-            texts = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            rare = ~marked.value[(hashes >> np.uint64(48)).astype(np.int64)]
-            few = np.bincount(texts[rare], minlength=len(offsets) - 1) < LEAST_WORDS
-            take = rare | few[texts]
-            counts = np.bincount(texts[take], minlength=len(offsets) - 1)
-            prints = fingerprints(hashes, offsets[:-1], hashes[take], np.cumsum(counts) - counts, segments)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * segments), pa.array(prints.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["key", "class", "prints"])
-
-    kind = df.schema[key].dataType.simpleString()
-    printed = stage(rows.select("key", F.xxhash64("words").alias("class"), "words").mapInArrow(mark, f"key {kind}, class bigint, prints array<bigint>"), "fingerprints")
-    members = printed.select("key", "class").distinct()
-    classes = printed.groupBy("class").agg(F.first("prints").alias("prints"))
-    keys = classes.select("class", "prints").mapInArrow(_explode_keys, "key bigint, class bigint")
+            owners = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            parts = np.zeros(len(words))
+            if len(known):
+                at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                parts = np.where(known[at] == words, part[at], 0.0)
+            keys, texts = all_keys(words, owners, offsets[:-1], parts, segments)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(batch.column(0).to_numpy()[texts])], names=["key", "class"])
+
+    keys = classes.select("class", "words").mapInArrow(find_keys, "key bigint, class bigint")
 
     # a key with one class only goes no further
     a, b = keys.select("key", F.col("class").alias("a")), keys.select("key", F.col("class").alias("b"))

@@ -84,3 +84,21 @@ def test_hot_groups_and_empty_tables(spark):
     assert pairs_of_keys(pairs, members).where("key_a is not null").count() == 60 * 59 // 2
     pairs, members = near_pairs(df.limit(0), "id", "t")
     assert pairs_of_keys(pairs, members).count() == 0
+
+
+def test_family_of_a_third_of_the_rows(spark):
+    """Each member has words of its own, the family's are common, and one member's copies are many rows."""
+    rng = random.Random(8)
+    base = [f"f{k}" for k in range(80)]
+    rows = [("base", " ".join(base))] + [(f"c{k}", " ".join(base)) for k in range(40)]
+    for k in range(200):
+        words = list(base)
+        for j in range(rng.randint(1, 4)):
+            words[rng.randrange(len(words))] = f"own{k}x{j}"
+        rows.append((f"m{k}", " ".join(words)))
+    rows += [(f"o{k}", " ".join(f"v{rng.randint(0, 3000)}" for _ in range(80))) for k in range(400)]
+    df = spark.createDataFrame(rows, "id string, t string")
+    got = {tuple(r) for r in pairs_of_keys(*near_pairs(df, "id", "t", 0.6, 3, 40)).collect()}
+    want = brute(rows, 0.6, 3, 40)
+    assert len(want) > 20_000
+    assert got <= want and len(got) >= 0.99 * len(want)
