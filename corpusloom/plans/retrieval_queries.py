@@ -11,6 +11,10 @@ from corpusloom.plans import sql as S
 from corpusloom.session import stage, table
 
 
+#: How many the reference takes of each ranking and after the fusion; the queries named _deep do so.
+DEPTH = 300
+
+
 def _passages(spark, d):
     return R.passages(table(spark, d, "chunks"))
 
@@ -67,8 +71,12 @@ def evidence_format(spark: SparkSession, d: str) -> DataFrame:
 
 def rerank(spark: SparkSession, d: str) -> DataFrame:
     """The candidates of the fusion in the order of a stand-in for a scoring model: the part of the question's words that they have."""
+    return _reranked(spark, d, 50, 20)
+
+
+def _reranked(spark, d, depth, limit):
     passages, questions = stage(_passages(spark, d), "passages"), _questions(spark, d)
-    fused = R.fuse_ranks([R.tfidf_search(passages, questions, 50), R.overlap_search(passages, questions, 50)], limit=20)
+    fused = R.fuse_ranks([R.tfidf_search(passages, questions, depth), R.overlap_search(passages, questions, depth)], limit=limit)
     bag = lambda c: F.array_distinct(F.filter(F.split(T.keyword_text(c), " "), lambda w: F.length(w) > 1))
     rows = fused.select("qid", "chunk_id", F.col("rank").alias("prior")).join(passages.select("chunk_id", "text"), "chunk_id").join(questions, "qid")
     score = F.round(F.size(F.array_intersect(bag("text"), bag("question"))) / F.size(bag("question")), 6)
@@ -76,6 +84,41 @@ def rerank(spark: SparkSession, d: str) -> DataFrame:
     return rows.selectExpr("*", "row_number() over (partition by qid order by score desc, prior) as rank")
 
 
+def _deep(spark, d):
+    """The reference's depth: 300 of each ranking and 300 after the fusion."""
+    passages, questions = stage(_passages(spark, d), "passages"), _questions(spark, d)
+    fused = R.fuse_ranks([R.tfidf_search(passages, questions, DEPTH), R.overlap_search(passages, questions, DEPTH)], limit=DEPTH)
+    return R.cap_per_document(fused.join(passages, "chunk_id"), 1)
+
+
+def dedup_per_doc_deep(spark: SparkSession, d: str) -> DataFrame:
+    return _deep(spark, d).select("qid", "rank", "chunk_id", "doc_id")
+
+
+def _context_deep(spark, d):
+    rows = stage(_deep(spark, d).withColumn("tokens", T.approx_tokens("text")), "hybrid")
+    return R.within_budget(rows, budget=1000, most=20), rows
+
+
+def context_budget_deep(spark: SparkSession, d: str) -> DataFrame:
+    return _context_deep(spark, d)[0]
+
+
+def evidence_format_deep(spark: SparkSession, d: str) -> DataFrame:
+    taken, rows = _context_deep(spark, d)
+    found = R.evidence(taken.join(rows.drop("tokens", "rank"), ["qid", "chunk_id"]))
+    return found.select("qid", F.length("evidence").alias("n_chars"), F.sha2("evidence", 256).alias("hash"))
+
+
+def rrf_deep(spark: SparkSession, d: str) -> DataFrame:
+    passages, questions = stage(_passages(spark, d), "passages"), _questions(spark, d)
+    return R.fuse_ranks([R.tfidf_search(passages, questions, DEPTH), R.overlap_search(passages, questions, DEPTH)], limit=DEPTH)
+
+
+def rerank_deep(spark: SparkSession, d: str) -> DataFrame:
+    return _reranked(spark, d, DEPTH, DEPTH)
+
+
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
     return R.vector_search(rows, rows.where("vec_id % 20 = 0"), 10).withColumn("distance", F.round("distance", 6))
@@ -89,7 +132,7 @@ def embed_validate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = "tfidf_index tfidf_topk overlap_topk rrf dedup_per_doc context_budget evidence_format rerank vector_topk embed_validate"
+    names = "tfidf_index tfidf_topk overlap_topk rrf dedup_per_doc context_budget evidence_format rerank rrf_deep dedup_per_doc_deep context_budget_deep evidence_format_deep rerank_deep vector_topk embed_validate"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -115,7 +158,18 @@ x as (select qid, pos, chunk_id, tokens, 1 as n, tokens::bigint as used, true as
   union all select z.qid, z.pos, z.chunk_id, z.tokens, x.n + (x.n < 20 and x.used + z.tokens <= 1000)::int, case when x.n < 20 and x.used + z.tokens <= 1000 then x.used + z.tokens else x.used end, x.n < 20 and x.used + z.tokens <= 1000 from x join z on z.qid = x.qid and z.pos = x.pos + 1)"""
 
 
+def _at_depth(sql: str) -> str:
+    for shallow in ("where rank <= 50", "where f.rank <= 60", "where f.rank <= 20", "from f where rank <= 20"):
+        sql = sql.replace(shallow, shallow.rsplit(" ", 1)[0] + f" {DEPTH}")
+    return sql
+
+
 def oracle_sql() -> dict[str, str]:
+    found = _oracle_sql()
+    return found | {f"{name}_deep": _at_depth(found[name]) for name in ("rrf", "dedup_per_doc", "context_budget", "evidence_format", "rerank")}
+
+
+def _oracle_sql() -> dict[str, str]:
     return {
         "tfidf_index": f"with {_P}, {_IDF} select term, df, round(idf, 6) as idf from i order by df desc, term limit 50",
         "tfidf_topk": f"{_TFIDF} select qid, chunk_id, score, rank from t where rank <= 5",
