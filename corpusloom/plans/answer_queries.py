@@ -60,6 +60,13 @@ def superlative(spark: SparkSession, d: str) -> DataFrame:
     return A.largest(questions, A.candidates(questions.where("qtype = 'superlative'"), _docs(spark, d)), A.competitors(_docs(spark, d)))
 
 
+def superlative_routed(spark: SparkSession, d: str) -> DataFrame:
+    """As superlative, for all questions that the router takes for one, whether their type says so or their wording."""
+    questions = _q(spark, d)
+    asked = questions.join(A.route(questions).where("intent = 'SUPERLATIVE'").select("qid"), "qid", "left_semi")
+    return A.largest(questions, A.candidates(asked, _docs(spark, d)), A.competitors(_docs(spark, d)))
+
+
 def gold_semijoin(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of documents that some question names, by qid or else doc_id."""
     gold = table(spark, d, "questions").select(F.explode("gold_doc_ids").alias("k")).distinct()
@@ -110,7 +117,7 @@ def model_usage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = "router candidate_docs candidate_docs_v2 competitor_extract event_summary agg_threshold superlative gold_semijoin gold_context prompt_format doc_rollup answer_match answer_match_v2 answer_match_v3 eval_by_type temporal_prev model_usage"
+    names = "router candidate_docs candidate_docs_v2 competitor_extract event_summary agg_threshold superlative superlative_routed gold_semijoin gold_context prompt_format doc_rollup answer_match answer_match_v2 answer_match_v3 eval_by_type temporal_prev model_usage"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -183,6 +190,7 @@ def oracle_sql() -> dict[str, str]:
         "event_summary": f"with {_P}, {_counts('p')}, f as (select distinct on (doc_id) doc_id, coalesce(title, '') as title, text from p order by doc_id, chunk_index, chunk_id) select doc_id, 'Event: ' || title || case when competitors is not null then ' | Total Competitors: ' || competitors else ' | Details: ' || left({S.strip("replace(split_part(text, '.', 1), chr(10), ' ')")}, 150) end as summary from f left join n using (doc_id)",
         "agg_threshold": f"with {_Q}, b as (select *, {_THRESHOLD} as threshold from q where {_THRESHOLD} is not null), {_D}, {_scored('b', _SCORE)}, {_counts('d')} select qid, threshold, count(*) filter (where competitors > threshold) as n_above, count(*) as n_known from b join c using (qid) join n using (doc_id) group by all",
         "superlative": f"with {_Q}, b as (select * from q where qtype = 'superlative'), {_D}, {_scored('b', _SCORE)}, {_counts('d')} select qid, doc_id, competitors from c join n using (doc_id) qualify row_number() over (partition by qid order by competitors desc, doc_id) = 1",
+        "superlative_routed": f"with {_Q}, b as (select * from q where case when qtype in ({S.quoted(A.TYPES)}) then upper(qtype) else {_INTENT} end = 'SUPERLATIVE'), {_D}, {_scored('b', _SCORE)}, {_counts('d')} select qid, doc_id, competitors from c join n using (doc_id) qualify row_number() over (partition by qid order by competitors desc, doc_id) = 1",
         "gold_semijoin": f"select distinct chunk_id, doc_id from chunks where {S.strip('text')} <> '' and coalesce(nullif(trim(wikidata_qid), ''), trim(doc_id)) in (select unnest(gold_doc_ids) from questions)",
         "gold_context": f"with {_Q}, {_P}, {_context(8, 8000)} select qid, n_passages, len(context) as n_chars, sha256(context) as hash from x",
         "prompt_format": f"with {_Q}, {_P}, {_context(12, 12000)}, y as (select qid, 'Question:' || chr(10) || question || chr(10) || chr(10) || 'Evidence:' || chr(10) || context || chr(10) || chr(10) || 'Answer:' as y from q join x using (qid)) select qid, len(y) as n_chars, sha256(y) as hash from y",
