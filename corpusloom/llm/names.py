@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -289,13 +290,13 @@ def _well_known(words: DataFrame, part: float) -> frozenset[str]:
     return frozenset(r.word for r in words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= max(LEAST, part * names)).select("word").collect())
 
 
-def resolve(entities: DataFrame, kinds: dict[str, str], most_rounds: int = 20) -> DataFrame:
+def resolve(entities: DataFrame, kinds: dict[str, str], most_rounds: int | None = None) -> DataFrame:
     """``id`` and ``entity`` (a number for each person or place) of all ids whose type is in ``kinds`` (type: ``p`` person, ``v`` place).
 
     Rows of all times count, withdrawn ones too. Types are compared stripped and in lower case; an id without
     one has that which most ids with the same beginning (up to the hyphen) have. Null and blank names say
     nothing; an id that has no other name is left out. An id under several names links them. Empty tables
-    give no rows.
+    give no rows. Rounds go on until nothing merges; if more than ``most_rounds`` have merges, that is an error.
     """
     spark = entities.sparkSession
     rows = entities.select("id", collapse("name").alias("name"), clean_key("type").alias("type")).where("id is not null")
@@ -329,7 +330,7 @@ def resolve(entities: DataFrame, kinds: dict[str, str], most_rounds: int = 20) -
     links = spelled.join(several.select("id", "a"), "id").where("spelling <> a").select("a", F.col("spelling").alias("b")).distinct()
     of = stage(spelled.select("spelling").distinct().join(connected_components(links).withColumnRenamed("node", "spelling"), "spelling", "left").select("spelling", F.coalesce("component", "spelling").alias("profile")), "profiles")
     attributes = stage(_attributes(entities, spelled), "attributes")
-    for _ in range(most_rounds):
+    for done in count():
         profiles = of.join(attributes, "spelling", "left").groupBy("profile").agg(F.collect_set("spelling").alias("spellings"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("attrs", F.array().cast("array<string>"))))).alias("attrs"))
         profiles = stage(profiles, "round")
 
@@ -366,6 +367,8 @@ def resolve(entities: DataFrame, kinds: dict[str, str], most_rounds: int = 20) -
         edges = stage(strong if not strong.isEmpty() else sure.unionByName(loose), "links")
         if edges.isEmpty():
             break
+        if most_rounds is not None and done >= most_rounds:
+            raise RuntimeError(f"names still merge after {most_rounds} rounds")
         merged = connected_components(edges).withColumnsRenamed({"node": "profile", "component": "into"})
         of = stage(of.join(merged, "profile", "left").select("spelling", F.coalesce("into", "profile").alias("profile")), "profiles")
     return spelled.join(of, "spelling").select("id", F.xxhash64("profile").alias("entity")).distinct()

@@ -55,3 +55,9 @@ def test_resolution(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "id string, name string, type string, attributes map<string,string>")
     assert names.resolve(df, {"athlete": "p"}).count() == 0
+
+
+def test_merges_are_not_cut_short(spark):
+    df = spark.createDataFrame([(f"ath-{k}-{j}", n, "Athlete", None) for k, g in enumerate(PEOPLE) for j, n in enumerate(g)], "id string, name string, type string, attributes map<string,string>")
+    with pytest.raises(RuntimeError):
+        names.resolve(df, {"athlete": "p"}, most_rounds=0)
