@@ -4,7 +4,8 @@ A text's fingerprint has several segments of 23 bits. A bit is one bit of the sm
 text's words, so two texts differ in about (1 - similarity of their words) / 2 of them. Every
 segment is decoded to the codewords near it, one or six, whose indices are its keys: segments that
 differ in up to two bits share one for certain. By the pigeonhole principle a pair with few errors in
-all has a segment with few errors, so it meets under some key. What meets is verified on the texts.
+all has a segment with few errors, so it meets under some key. What meets is compared by 128 further bits
+of the fingerprint at once, inside the join, and what is left is verified on the texts.
 
 Twelve bits can't keep hundreds of millions of texts apart, so a segment's keys carry words of the text
 besides, those of smallest hash under the segment's own functions. Each text has keys of two kinds: with one of
@@ -24,15 +25,18 @@ from corpusloom.functions.text import once
 from corpusloom.llm.golay import LENGTH, near_codewords
 from corpusloom.session import stage
 
-SEGMENTS = 11
+#: Segments whose keys carry a telling word, and how many of them give keys with common words as well.
+SEGMENTS, COMMON_SEGMENTS = 8, 7
 #: A word in more than this part of all different texts (and in more than one, for only then it can be shared) is common and tells little. No table has more such words than a text has on average, over this part.
 COMMON = 0.001
 #: A key of common words carries those of so many segments, its own and the next.
 TOGETHER = 3
+#: Of the further bits of two texts so many may differ. Of texts whose words are 0.85 alike 10 do on average, and more than 28 once in a million.
+SKETCH, MOST_APART = 128, 28
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-#: Rows of one group are spread over so many tasks where pairs of its members are listed.
-SALT = 16
+#: Rows of one class that one task pairs with others; larger classes are spread over more tasks.
+TASK_ROWS = 4096
 
 
 def word_hashes(text: Column) -> Column:
@@ -62,19 +66,23 @@ def _least(words: np.ndarray, owners: np.ndarray, weights: np.ndarray, texts: in
     return have, out
 
 
-def segments_of(words: np.ndarray, starts: np.ndarray, segments: int = SEGMENTS, seed: int = 5) -> np.ndarray:
-    """(texts, segments) of 23 bits. ``words`` (uint32) are those of all texts, each text beginning at ``starts``; none is without any."""
-    out = np.zeros((len(starts), segments), dtype=np.int64)
+def fingerprints(words: np.ndarray, starts: np.ndarray, segments: int = SEGMENTS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, segments) of 23 bits, and (texts, 2) of 64 bits more. ``words`` (uint32) are those of all texts, each text beginning at ``starts``; none is without any."""
+    out, sketch = np.zeros((len(starts), segments), dtype=np.int64), np.zeros((len(starts), SKETCH // 64), dtype=np.uint64)
     if not len(starts):
-        return out
-    factors, terms = _functions(segments * LENGTH, seed)
-    for k in range(segments * LENGTH):
-        segment, bit = divmod(k, LENGTH)
+        return out, sketch.view(np.int64)
+    factors, terms = _functions(segments * LENGTH + SKETCH, seed)
+    for k in range(segments * LENGTH + SKETCH):
         mixed = words + np.uint32(terms[k] >> np.uint64(32))
         mixed *= np.uint32(factors[k] & np.uint64(0xFFFFFFFF))
         least = np.minimum.reduceat(mixed, starts).astype(np.uint64)
-        out[:, segment] |= ((least + np.uint64(k)) * _MIX >> np.uint64(63)).astype(np.int64) << bit
-    return out
+        bit = (least + np.uint64(k)) * _MIX >> np.uint64(63)
+        if k < segments * LENGTH:
+            out[:, k // LENGTH] |= bit.astype(np.int64) << (k % LENGTH)
+        else:
+            word, place = divmod(k - segments * LENGTH, 64)
+            sketch[:, word] |= bit << np.uint64(place)
+    return out, sketch.view(np.int64)
 
 
 def keys_of(bits: np.ndarray, words: np.ndarray, kind: int) -> np.ndarray:
@@ -88,22 +96,22 @@ def keys_of(bits: np.ndarray, words: np.ndarray, kind: int) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
-def all_keys(words: np.ndarray, owners: np.ndarray, starts: np.ndarray, parts: np.ndarray, segments: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, texts): all keys of all texts and whose they are. ``parts``: in what part of all texts each of ``words`` is if it is common, else 0."""
-    bits = segments_of(words, starts, segments)
+def all_keys(words: np.ndarray, owners: np.ndarray, starts: np.ndarray, parts: np.ndarray, segments: int = SEGMENTS, common_segments: int = COMMON_SEGMENTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, texts, sketches): all keys of all texts, whose they are, and the further bits of each text. ``parts``: in what part of all texts each of ``words`` is if it is common, else 0."""
+    bits, sketches = fingerprints(words, starts, segments)
     keys, whose = [], []
     common = parts > 0
     # rarer common words come first more often, yet no single one can outweigh all others of its text
     weights = 1 / np.sqrt(np.where(common, parts, 1.0))
-    for kind, take, seed in ((0, ~common, 6), (1, common, 7)):
+    for kind, take, seed, used in ((0, ~common, 6, segments), (1, common, 7, common_segments)):
         have, least = _least(words[take], owners[take], weights[take], len(starts), segments, seed)
         if kind:
             least = sum(np.roll(least, -k, axis=1) * np.uint64(2 * k + 1) for k in range(TOGETHER))
-        found = keys_of(bits[have], least[have], kind)
+        found = keys_of(bits[have][:, :used], least[have][:, :used], kind)
         yes = found >= 0
         keys.append(found[yes])
         whose.append(np.broadcast_to(np.flatnonzero(have)[:, None], found.shape)[yes])
-    return np.concatenate(keys), np.concatenate(whose)
+    return np.concatenate(keys), np.concatenate(whose), sketches
 
 
 def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, shingle: int = 5, least_words: int | None = None, segments: int = SEGMENTS) -> tuple[DataFrame, DataFrame]:
@@ -142,14 +150,16 @@ def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, shingle:
             if len(known):
                 at = np.minimum(np.searchsorted(known, words), len(known) - 1)
                 parts = np.where(known[at] == words, part[at], 0.0)
-            keys, texts = all_keys(words, owners, offsets[:-1], parts, segments)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(batch.column(0).to_numpy()[texts])], names=["key", "class"])
+            keys, texts, sketches = all_keys(words, owners, offsets[:-1], parts, segments)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(batch.column(0).to_numpy()[texts]), pa.array(sketches[texts, 0]), pa.array(sketches[texts, 1])], names=["key", "class", "one", "two"])
 
-    keys = classes.select("class", "words").mapInArrow(find_keys, "key bigint, class bigint")
+    keys = classes.select("class", "words").mapInArrow(find_keys, "key bigint, class bigint, one bigint, two bigint")
 
-    # a key with one class only goes no further
-    a, b = keys.select("key", F.col("class").alias("a")), keys.select("key", F.col("class").alias("b"))
-    candidates = stage(a.join(b, "key").where("a < b").select("a", "b").distinct(), "candidates")
+    # what is under the keys is as many rows as there are classes, the keys are many times more: never broadcast
+    a, b = (keys.select("key", F.col("class").alias(x), F.col("one").alias(f"{x}1"), F.col("two").alias(f"{x}2")) for x in "ab")
+    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in (1, 2)), F.lit(0))
+    met = a.hint("merge").join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & (apart <= MOST_APART))
+    candidates = stage(met.select("a", "b").distinct(), "candidates")
 
     # one text of each class that met another, as a set of shingles: only these are split into words again
     met = candidates.selectExpr("explode(array(a, b)) as class").distinct()
@@ -165,12 +175,16 @@ def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, shingle:
 
 
 def pairs_of_keys(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """All pairs of different keys in one class or in two near ones, the smaller key first: as many rows as there are such pairs."""
+    """All pairs of different keys in one class or in two near ones, the smaller key first: as many rows as there are such pairs.
+
+    The rows of a class are numbered into as many parts as TASK_ROWS goes into its size, so that no task has all of a large one.
+    """
     near = stage(pairs.select("a", "b"), "near")
-    twice = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"))
-    both = near.unionByName(twice)
-    left = members.select(F.col("class").alias("a"), F.col("key").alias("x"), F.pmod(F.xxhash64("key"), F.lit(SALT)).alias("salt"))
+    sizes = members.groupBy("class").agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("parts"), F.count("*").alias("n"))
+    twice = sizes.where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), "parts")
+    both = near.join(sizes.select(F.col("class").alias("a"), "parts"), "a").select("a", "b", "parts").unionByName(twice)
+    left = members.join(sizes, "class").select(F.col("class").alias("a"), F.col("key").alias("x"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
     right = members.select(F.col("class").alias("b"), F.col("key").alias("y"))
-    spread = both.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    joined = spread.join(left, ["a", "salt"]).join(right, "b").where("x <> y")
+    spread = both.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    joined = spread.hint("merge").join(left.hint("merge"), ["a", "part"]).hint("merge").join(right.hint("merge"), "b").where("x <> y")
     return joined.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
