@@ -1,9 +1,10 @@
 """Problem 4: references to records that do not exist when the referring row arrives.
 
 Keys are dictionary-encoded as integers (a range and a place in it). For every key range and month one
-bitmap holds the keys referred to, and one the keys of which a record is live all through the month.
-Reference AND-NOT parent leaves the few keys that can have orphans in that month; only for those the
-arrival times of single rows are compared.
+bitmap holds the keys referred to, one those of which a record begins to be live with the month and one
+those of which it ends before. From month to month the latter two give the keys live all through each
+month. Reference AND-NOT parent leaves the few keys that can have orphans in that month; only for those
+the arrival times of single rows are compared. Empty bitmaps are null, the others compressed in the shuffle.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from corpusloom.session import stage
 
 #: Places in one bitmap: fixed by Spark's bitmap functions.
 PLACES = 32_768
-#: Rows that refer to one key are spread over so many tasks.
-SALT = 16
+#: References to one key that one task compares with its records; hotter keys are spread over more tasks.
+TASK_ROWS = 65_536
 #: Before and after all times.
 FIRST, LAST = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
 
@@ -40,19 +41,40 @@ def _month(c: Column) -> Column:
     return (F.year(c) * 12 + F.month(c) - 1).cast("int")
 
 
+def _merged(spans: Column) -> Column:
+    """Spans (a, b) of months in order of a, those that touch or overlap as one."""
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def step(out: Column, x: Column) -> Column:
+        before = F.try_element_at(out, F.lit(-1))
+        joined = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(before["a"].alias("a"), F.greatest(before["b"], x["b"]).alias("b"))))
+        return F.when(F.coalesce(x["a"] <= before["b"] + 1, F.lit(False)), joined).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(spans, none, step)
+
+
+def _bits(stored: bytes | None) -> np.ndarray:
+    """The places of a bitmap as ones and zeros."""
+    if stored is None:
+        return np.zeros(PLACES, np.uint8)
+    return np.unpackbits(np.frombuffer(stored, np.uint8), bitorder="little")
+
+
 def _surviving(batches):
-    """Reference AND-NOT parent, decoded to the places that survive."""
+    """Reference AND-NOT parent, decoded to the places that survive. A row is a range and block with its months in order."""
     for batch in batches:
-        head = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        ranges, blocks = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
         out: list[list[np.ndarray]] = [[], [], []]
-        for k, (refs, parents) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-            bits = np.frombuffer(refs, np.uint8)
-            if parents is not None:
-                bits = bits & ~np.frombuffer(parents, np.uint8)
-            places = np.flatnonzero(np.unpackbits(bits, bitorder="little")).astype(np.int64) + head[1][k] * PLACES
-            out[0].append(np.full(len(places), head[0][k], np.int32))
-            out[1].append(places)
-            out[2].append(np.full(len(places), head[2][k], np.int32))
+        for k, months in enumerate(batch.column(2).to_pylist()):
+            live = np.zeros(PLACES, np.uint8)
+            for m in months:
+                if m["begins"] is not None or m["ends"] is not None:
+                    live = (live & (1 - _bits(m["ends"]))) | _bits(m["begins"])
+                if m["refs"] is not None:
+                    places = np.flatnonzero(_bits(m["refs"]) & (1 - live)).astype(np.int64) + blocks[k] * PLACES
+                    out[0].append(np.full(len(places), ranges[k], np.int32))
+                    out[1].append(places)
+                    out[2].append(np.full(len(places), m["month"], np.int32))
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["range", "place", "month"])
 
@@ -76,20 +98,19 @@ def find_orphans(refs: DataFrame, recs: DataFrame, ranges: int | None = None) ->
     keys = months.select("parent", "key").union(recs.select("parent", "key")).groupBy("parent", "key").agg(of_key.alias("range")).repartition("range")
     keys = stage(keys.selectExpr("*", "cast(row_number() over (partition by range order by parent, key) - 1 as bigint) as place"), "dictionary")
 
-    def bitmaps(coded: DataFrame, name: str) -> DataFrame:
-        at = F.col("place")
-        return coded.groupBy("range", F.floor(at / PLACES).alias("block"), "month").agg(F.bitmap_construct_agg(at % PLACES).alias(name))
-
     span = months.agg(F.min("month").alias("a"), F.max("month").alias("b")).first()
     first, last = (span.a, span.b) if span.a is not None else (0, 0)
-    # months that begin at or after the arrival and end at or before the deletion
+    # spans of months from which a record is live at the beginning to which it still is at the end, one for each key and beginning, then put together where they touch
     begins = _month(F.col("arrived")) + F.when(F.col("arrived") == F.date_trunc("month", F.col("arrived")).cast("timestamp_ntz"), 0).otherwise(1)
     a, b = F.greatest(begins, F.lit(first)), F.least(_month(F.col("deleted")) - 1, F.lit(last))
-    whole = recs.where((F.col("arrived") < F.col("deleted")) & (a <= b)).select("parent", "key", F.explode(F.sequence(a, b)).alias("month"))
-    referred = bitmaps(months.where("month is not null").join(keys, ["parent", "key"]), "refs")
-    parents = bitmaps(whole.join(keys, ["parent", "key"]), "parents")
-    both = referred.join(parents, ["range", "block", "month"], "left").select("range", "block", "month", "refs", "parents")
-    left = both.mapInArrow(_surviving, "range int, place bigint, month int")
+    spans = recs.where((F.col("arrived") < F.col("deleted")) & (a <= b)).groupBy("parent", "key", a.alias("a")).agg(F.max(b).alias("b"))
+    spans = spans.groupBy("parent", "key").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s")).select("parent", "key", F.explode(_merged(F.col("s"))).alias("s"))
+    turns = spans.select("parent", "key", F.explode(F.array(F.struct(F.col("s.a").alias("month"), F.lit("begins").alias("what")), F.struct((F.col("s.b") + 1).alias("month"), F.lit("ends").alias("what")))).alias("t")).select("parent", "key", "t.*").where(F.col("month") <= last)
+    coded = months.where("month is not null").select("parent", "key", "month", F.lit("refs").alias("what")).unionByName(turns).join(keys, ["parent", "key"])
+    bits = coded.groupBy("range", F.floor(F.col("place") / PLACES).alias("block"), "month").agg(*[F.bitmap_construct_agg(F.when(F.col("what") == w, F.col("place") % PLACES)).alias(w) for w in ("refs", "begins", "ends")])
+    bits = bits.select("range", "block", "month", *[F.when(F.bitmap_count(w) > 0, F.col(w)).alias(w) for w in ("refs", "begins", "ends")])
+    blocks = bits.groupBy("range", "block").agg(F.array_sort(F.collect_list(F.struct("month", "refs", "begins", "ends"))).alias("months"))
+    left = blocks.mapInArrow(_surviving, "range int, place bigint, month int")
     suspects = left.join(keys, ["range", "place"]).select("parent", "key", "month")
     undated = months.where("month is null").join(recs.select("parent", "key").distinct(), ["parent", "key"], "left_anti")
     suspects = stage(suspects.unionByName(undated.select("parent", "key", "month")), "suspects")
@@ -102,15 +123,15 @@ def find_orphans(refs: DataFrame, recs: DataFrame, ranges: int | None = None) ->
     ahead = steps.where("n = 1").selectExpr("parent", "key", f"timestamp_ntz'{FIRST}' as since", "since as before", "cast(null as timestamp_ntz) as until")
     steps = steps.drop("n").unionByName(ahead)
 
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
-    asked = suspects.select("*", salt)
-    steps = steps.select("*", salt)
-    refs = refs.withColumn("month", _month(F.col("t"))).withColumn("salt", F.pmod(F.xxhash64("ref_key", "t"), F.lit(SALT)).cast("int"))
-    on = [refs[c].eqNullSafe(asked[c]) if c == "month" else refs[c] == asked[c] for c in ("parent", "key", "salt", "month")]
-    cases = refs.join(asked, on[0] & on[1] & on[2] & on[3], "left_semi").alias("r")
-    s = steps.alias("s")
+    # references to a key in question are counted, and those to a hot one spread over several tasks
+    refs = refs.withColumn("month", _month(F.col("t")))
+    cases = refs.join(suspects, (refs["parent"] == suspects["parent"]) & (refs["key"] == suspects["key"]) & refs["month"].eqNullSafe(suspects["month"]), "left_semi")
+    cases = stage(cases.select("table_name", "ref_key", "field", "parent", "key", "t"), "cases")
+    hot = cases.groupBy("parent", "key").agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("parts")).where("parts > 1")
+    cases = cases.join(hot, ["parent", "key"], "left").withColumn("part", F.pmod(F.xxhash64("ref_key", "t"), F.coalesce("parts", F.lit(1))).cast("int")).alias("r")
+    s = steps.join(hot, ["parent", "key"], "left").select(*steps.columns, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")).alias("s")
     at = (F.col("r.t") >= F.col("s.since")) & (F.col("r.t") < F.col("s.before"))
-    found = cases.join(s, (F.col("r.parent") == F.col("s.parent")) & (F.col("r.key") == F.col("s.key")) & (F.col("r.salt") == F.col("s.salt")) & at, "left")
+    found = cases.hint("merge").join(s.hint("merge"), (F.col("r.parent") == F.col("s.parent")) & (F.col("r.key") == F.col("s.key")) & (F.col("r.part") == F.col("s.part")) & at, "left")
     kind = F.when(F.col("s.since").isNull(), "missing").when(F.col("s.until").isNull(), "late").when(F.col("s.until") <= F.col("r.t"), "deleted")
     found = found.select("r.table_name", "r.ref_key", "r.field", kind.alias("kind"), F.date_format("r.t", "yyyy-MM").alias("period"))
     return found.where("kind is not null").distinct()
