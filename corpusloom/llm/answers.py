@@ -1,8 +1,9 @@
 """Problem 2: answers that are empty, cut off, refusals, copies of their question or in another language.
 
 Ordered rules, each on its own, so that an answer can show several defects. Whether an open end is abrupt is
-judged by the table itself: an end is whole if closed sentences end that way too, words that are names and
-numbers apart.
+judged by the table itself: an end is whole if the table's different answers close it at least half as often as
+they leave it open, words that are names and numbers apart. Neither the size of the table nor answers that are
+given many times change that ratio.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ _OPEN_WORDS = re.compile(r"[,;:–—(\[{«“/&+-]$|[^\W\d]['’]$")
 #: Least evidence (sum of log odds) for another language, least words in it, and the least evidence a word must have on average.
 LANGUAGE_MARGIN, LANGUAGE_WORDS, MARGIN_A_WORD = 9.0, 3, 0.9
 TAIL = 4
+#: An end is whole if it is closed at least so often for each time it is open.
+CLOSED_PART = 0.5
 
 
 def bare(text: str) -> str:
@@ -241,7 +244,7 @@ def find_defects(df: DataFrame, profiles: Profiles, key: str = "pred_id", questi
             lower = [len(re.findall(r"\b[^\W\d_]+", "".join(c if not c.isupper() else " 0" for c in running(a)))) for a in rest]
             out = []
             for k, (a, q) in enumerate(zip(answers, questions)):
-                found, whole, last = [], None, None
+                found, last = [], None
                 if is_empty(a):
                     found.append("empty")
                 else:
@@ -257,30 +260,27 @@ def find_defects(df: DataFrame, profiles: Profiles, key: str = "pred_id", questi
                     text = rest[k].strip()
                     if unclosed(a) or _OPEN_WORDS.search(text):
                         found.append("truncated")
-                    elif text and is_open(text) and not names_only(text):
+                    elif text and "refusal" not in found and is_open(text) and not names_only(text):
                         parts = sentences_of(text)
-                        whole, last = " ".join(shape(text)), tail(parts[-1]) if parts else None
-                out.append((frame["key"].iloc[k], found, whole, last))
-            yield pd.DataFrame(out, columns=["key", "found", "whole", "last"])
+                        last = tail(parts[-1]) if parts else None
+                out.append((frame["key"].iloc[k], found, last))
+            yield pd.DataFrame(out, columns=["key", "found", "last"])
 
     def ends(frames):
         for frame in frames:
             out = []
             for a in frame["a"]:
                 if isinstance(a, str):
-                    parts = sentences_of(a)
-                    out += [(tail(s), 1) for k, s in enumerate(parts) if not is_open(s) and not unclosed(s)]
-            yield pd.DataFrame(out, columns=["last", "n"])
-
-    judged = stage(rows.mapInPandas(judge, f"key {kind}, found array<string>, whole string, last string"), "judged")
-    # ends of closed sentences, and whole answers that often stand without a mark
-    closed = rows.select("a").distinct().mapInPandas(ends, "last string, n int").groupBy("last").agg(F.sum("n").alias("closed"))
-    often = judged.where("whole is not null").groupBy("whole").agg(F.count("*").alias("often"))
-    total = judged.where("whole is not null").count()
-    flagged = judged.join(closed, "last", "left").join(often, "whole", "left")
-    abrupt = F.col("last").isNotNull() & (F.coalesce("closed", F.lit(0)) < 2) & (F.coalesce("often", F.lit(0)) < max(5, int(0.003 * total)))
-    defects = F.array_distinct(F.concat("found", F.when(abrupt, F.array(F.lit("truncated"))).otherwise(F.array().cast("array<string>"))))
-    return flagged.select(F.col("key").alias(key), F.explode(defects).alias("defect")).distinct()
+                    out += [(tail(s), 0 if is_open(s) or unclosed(s) else 1) for s in sentences_of(a)]
+            yield pd.DataFrame(out, columns=["last", "closed"])
+
+    judged = stage(rows.mapInPandas(judge, f"key {kind}, found array<string>, last string"), "judged")
+    # how often the different answers of the table close an end and leave it open
+    ends_of = rows.select("a").distinct().mapInPandas(ends, "last string, closed int").groupBy("last").agg(F.sum("closed").alias("closed"), F.count("*").alias("n"))
+    whole = ends_of.where((F.col("closed") > 0) & (F.col("closed") >= CLOSED_PART * (F.col("n") - F.col("closed")))).select("last")
+    # only open ends are looked up; answers without one don't come into the join as so many nulls
+    abrupt = judged.where("last is not null").join(whole, "last", "left_anti").select(F.col("key").alias(key), F.lit("truncated").alias("defect"))
+    return judged.select(F.col("key").alias(key), F.explode("found").alias("defect")).unionByName(abrupt).distinct()
 
 
 def first_defect(defects: DataFrame, key: str = "pred_id") -> DataFrame:
