@@ -4,7 +4,8 @@ Every letter has a random vector of +1 and -1. A trigram's vector binds those of
 its place; a language's prototype bundles the vectors of its trigrams, weighted by how much likelier they are
 in it than in the others. Texts and sentences, bundles of their trigrams, are compared with the prototypes by
 cosine. As the product of a bundle with a prototype is the sum of its trigrams' products, these are computed
-once for each trigram and the sentence needs no vector of its own.
+once for each trigram, already divided by the prototype's length, and the sentence needs no vector of its own. The
+sentence's own length is the same factor for all languages; it is left out where languages are compared only.
 """
 
 from __future__ import annotations
@@ -121,7 +122,6 @@ class Profiles:
         self.languages = sorted(counts)
         grams = np.array(sorted({g for c in counts.values() for g in c}), dtype=np.int64)
         self.table = np.zeros((GRAMS, max(1, len(self.languages))), dtype=np.float32)
-        self.norms = np.ones(max(1, len(self.languages)))
         if not len(grams):
             return
         place = {g: k for k, g in enumerate(grams.tolist())}
@@ -134,14 +134,16 @@ class Profiles:
         prototypes = np.zeros((DIMENSIONS, len(self.languages)))
         for at in range(0, len(grams), 2048):
             prototypes += gram_vectors(grams[at : at + 2048]).T.astype(np.float32) @ weights[at : at + 2048].astype(np.float32)
+        # divided by each prototype's length, times the mean one: cosines but for the text's own length
+        norms = np.maximum(np.sqrt((prototypes**2).sum(axis=0) / DIMENSIONS), 1e-9)
+        scale = (norms.mean() / norms / DIMENSIONS).astype(np.float32)
         for at in range(0, len(grams), 2048):
-            self.table[grams[at : at + 2048]] = gram_vectors(grams[at : at + 2048]).astype(np.float32) @ prototypes.astype(np.float32) / DIMENSIONS
-        self.norms = np.maximum(np.sqrt((prototypes**2).sum(axis=0) / DIMENSIONS), 1e-9)
+            self.table[grams[at : at + 2048]] = gram_vectors(grams[at : at + 2048]).astype(np.float32) @ prototypes.astype(np.float32) * scale
 
     def evidence(self, sentences: Sentences) -> np.ndarray:
-        """Of every sentence and language the sum of its trigrams' products."""
+        """Of every sentence and language the cosine of its bundle with the prototype, times the bundle's length."""
         if not len(sentences.starts):
-            return np.zeros((0, len(self.norms)))
+            return np.zeros((0, self.table.shape[1]))
         sums = np.zeros((len(sentences.starts), self.table.shape[1]))
         # in pieces, so that long batches need little memory
         bounds = np.append(sentences.starts, len(sentences.grams))
@@ -177,6 +179,8 @@ def judge(texts: list[str | None], profiles: Profiles, switch: float = SWITCH) -
     sentences = Sentences(texts)
     evidence = profiles.evidence(sentences)
     words = np.where(sentences.prose, sentences.words, 0)
+    # lines of tables before each sentence: they end a passage, blank lines don't
+    tables = np.cumsum(~sentences.prose & (sentences.words > 0))
     out: list[list[tuple[str, bool, int, float]]] = [[] for _ in texts]
     n = len(profiles.languages)
     if not len(sentences.starts) or not n:
@@ -191,8 +195,7 @@ def judge(texts: list[str | None], profiles: Profiles, switch: float = SWITCH) -
 
     def confidence(sums: np.ndarray, k: int) -> float:
         """The part of the cosines' softmax, sharpened by the amount of evidence."""
-        scaled = sums / profiles.norms * profiles.norms.mean()
-        odds = np.exp(np.clip((scaled - scaled[k]) / 4, -50, 50))
+        odds = np.exp(np.clip((sums - sums[k]) / 4, -50, 50))
         return float(1 / odds.sum())
 
     for t in range(len(texts)):
@@ -209,7 +212,7 @@ def judge(texts: list[str | None], profiles: Profiles, switch: float = SWITCH) -
         k = int(count.argmax())
         out[t].append((profiles.languages[k], True, int(count[k]), confidence(evidence[prose][path == k].sum(axis=0), k)))
         run: dict[int, list[np.ndarray]] = defaultdict(list)
-        for part in np.split(np.arange(len(prose)), np.flatnonzero((np.diff(path) != 0) | (np.diff(prose) != 1)) + 1):
+        for part in np.split(np.arange(len(prose)), np.flatnonzero((np.diff(path) != 0) | (np.diff(tables[prose]) != 0)) + 1):
             run[int(path[part[0]])].append(part)
         for other, parts in run.items():
             if other != k and max(words[prose[p]].sum() for p in parts) >= PASSAGE_WORDS:
