@@ -26,6 +26,8 @@ from corpusloom.session import stage
 #: A word is well known if at least this part of all different names have it, and at least LEAST names: so at most 1 / KNOWN words for each place in a name.
 KNOWN, LEAST = 0.001, 3
 KNOWN_PLACE_WORD = 0.005
+#: Ids of one entity that one task pairs with the others.
+TASK_ROWS = 4096
 #: Titles, particles of surnames, words of place names that say nothing.
 TITLES = frozenset("dr prof mr mrs ms miss sir dame lord lady rev hon capt col maj lt sgt gen herr frau mme mlle don dona sr jr dipl ing st".split())
 PARTICLES = frozenset("de da di do dos du del della der den van von ten ter la le el al bin ibn zu zum zur af av".split())
@@ -330,6 +332,7 @@ def resolve(entities: DataFrame, kinds: dict[str, str], most_rounds: int | None
     links = spelled.join(several.select("id", "a"), "id").where("spelling <> a").select("a", F.col("spelling").alias("b")).distinct()
     of = stage(spelled.select("spelling").distinct().join(connected_components(links).withColumnRenamed("node", "spelling"), "spelling", "left").select("spelling", F.coalesce("component", "spelling").alias("profile")), "profiles")
     attributes = stage(_attributes(entities, spelled), "attributes")
+    changed, known_keys, known_matches = None, None, None
     for done in count():
         profiles = of.join(attributes, "spelling", "left").groupBy("profile").agg(F.collect_set("spelling").alias("spellings"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("attrs", F.array().cast("array<string>"))))).alias("attrs"))
         profiles = stage(profiles, "round")
@@ -339,8 +342,12 @@ def resolve(entities: DataFrame, kinds: dict[str, str], most_rounds: int | None
                 out = [(k, p) for p, s in zip(frame["profile"], frame["spellings"]) for k in block_keys(list(s))]
                 yield pd.DataFrame(out, columns=["key", "profile"])
 
-        keyed = profiles.select("profile", "spellings").mapInPandas(keys, "key string, profile string").select(F.xxhash64("key").alias("key"), "profile")
-        pairs = keyed.select("key", F.col("profile").alias("a")).join(keyed.select("key", F.col("profile").alias("b")), "key").where("a < b").select("a", "b").distinct()
+        # only profiles that a merge has changed are blocked and compared again
+        new = profiles if changed is None else profiles.join(changed, "profile", "left_semi")
+        new_keys = stage(new.select("profile", "spellings").mapInPandas(keys, "key string, profile string").select(F.xxhash64("key").alias("key"), "profile"), "keys")
+        all_keys = new_keys if changed is None else stage(known_keys.join(touched, "profile", "left_anti").unionByName(new_keys), "keys")
+        # a profile has many keys: what is small under them is no small side of a join
+        pairs = new_keys.withColumnRenamed("profile", "x").hint("merge").join(all_keys.withColumnRenamed("profile", "y").hint("merge"), "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         left, right = (profiles.select(F.col("profile").alias(x), F.col("spellings").alias(f"s{x}"), F.col("attrs").alias(f"t{x}")) for x in "ab")
 
         def match(frames):
@@ -356,7 +363,11 @@ def resolve(entities: DataFrame, kinds: dict[str, str], most_rounds: int | None
                         found.append((a, b, how, agree))
                 yield pd.DataFrame(found, columns=["a", "b", "how", "agree"])
 
-        matched = stage(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "ta", "tb").mapInPandas(match, "a string, b string, how int, agree int"), "matched")
+        matched = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "ta", "tb").mapInPandas(match, "a string, b string, how int, agree int")
+        if changed is not None:
+            kept = known_matches.join(touched.withColumnRenamed("profile", "a"), "a", "left_anti").join(touched.withColumnRenamed("profile", "b"), "b", "left_anti")
+            matched = matched.unionByName(kept.select("a", "b", "how", "agree"))
+        matched = stage(matched, "matched")
         # one that may be a well-known one is, if there is just one, or just one that agrees with it
         may = matched.where("how = 2")
         one = may.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"), F.count_if(F.col("agree") > 0).alias("m"), F.min(F.when(F.col("agree") > 0, F.col("b"))).alias("c"))
@@ -369,13 +380,17 @@ def resolve(entities: DataFrame, kinds: dict[str, str], most_rounds: int | None
             break
         if most_rounds is not None and done >= most_rounds:
             raise RuntimeError(f"names still merge after {most_rounds} rounds")
-        merged = connected_components(edges).withColumnsRenamed({"node": "profile", "component": "into"})
+        merged = stage(connected_components(edges).withColumnsRenamed({"node": "profile", "component": "into"}), "merged")
+        touched, changed = merged.select("profile"), merged.select(F.col("into").alias("profile")).distinct()
+        known_keys, known_matches = all_keys, matched
         of = stage(of.join(merged, "profile", "left").select("spelling", F.coalesce("into", "profile").alias("profile")), "profiles")
     return spelled.join(of, "spelling").select("id", F.xxhash64("profile").alias("entity")).distinct()
 
 
-def id_pairs(resolved: DataFrame, salt: int = 16) -> DataFrame:
-    """All pairs of ids of one entity, the smaller first; a large entity's rows are spread over ``salt`` tasks."""
-    left = resolved.select("entity", F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), F.lit(salt)).alias("salt"))
-    right = resolved.select("entity", F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"))
-    return left.join(right, ["entity", "salt"]).where("id_a < id_b").select("id_a", "id_b").distinct()
+def id_pairs(resolved: DataFrame) -> DataFrame:
+    """All pairs of ids of one entity, the smaller first; the ids of a large entity are dealt out to as many tasks as TASK_ROWS goes into their number."""
+    sizes = resolved.groupBy("entity").agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = resolved.join(sizes, "entity")
+    left = rows.select("entity", F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    right = rows.select("entity", F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.hint("merge").join(right.hint("merge"), ["entity", "part"]).where("id_a < id_b").select("id_a", "id_b").distinct()
