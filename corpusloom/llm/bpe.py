@@ -7,8 +7,9 @@ token of what is before it. Two tokens may stand side by side if no merge across
 due before the merges that build them (:meth:`MergeTable.adjacent`).
 
 A token is emitted once it lies on the encodings of all prefixes that a later token can start from.
-Those begin at most ``lookahead`` = (longest token - 1) bytes back, so the window stays small however
-long the input is.
+How many bytes after a token can still change it follows from the merges alone: a merge to its right
+adds the bytes of its partner, and what may follow the merged token. The most of any token is the
+``lookahead``, so the window stays small however long the input is.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Pieces and token pairs that one Python worker remembers; beyond that the memory is emptied.
 REMEMBERED = 1_000_000
+#: Characters of a text whose pieces are listed at once; those of longer ones come one by one.
+LISTED = 65_536
 
 
 def byte_characters() -> dict[str, int]:
@@ -53,12 +56,19 @@ class MergeTable:
         self.bytes = {i: piece for piece, i in ids.items()}
         self._built = built
         self.longest = max(map(len, self.id))
-        self.lookahead = self.longest - 1
+        #: Of every token, how many bytes after it merges can reach; merges that use a token come after the one that builds it.
+        self.reach = dict.fromkeys(self.bytes, 0)
+        for left, right in reversed(merges):
+            a, b = ids[raw[left]], ids[raw[right]]
+            further = self.reach[ids[raw[left] + raw[right]]]
+            self.reach[a] = max(self.reach[a], len(raw[right]) + further)
+            self.reach[b] = max(self.reach[b], further)
+        self.lookahead = max(self.reach.values(), default=0)
         #: Of every token and every beginning of one: the token's id, or -1.
         self.beginnings = {piece[:k]: -1 for piece in self.id for k in range(1, len(piece))} | self.id
         self.prefixes = {piece[:k] for piece in self.id for k in range(1, len(piece))}
         self._edge: tuple[dict, dict] = ({}, {})
-        self._adjacent: dict[int, bool] = {}
+        self.adjacent_pairs: dict[int, bool] = {}
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The parts of ``token`` at its right (side 1) or left (side 0) border, each with the order of the merge that uses it up."""
@@ -75,7 +85,7 @@ class MergeTable:
     def adjacent(self, left: int, right: int) -> bool:
         """Whether the bytes of both tokens together encode to just these two."""
         key = left << 24 | right
-        known = self._adjacent.get(key)
+        known = self.adjacent_pairs.get(key)
         if known is None:
             known = True
             fronts = self._spine(right, 0)
@@ -89,9 +99,9 @@ class MergeTable:
                             break
                     if not known:
                         break
-            if len(self._adjacent) >= REMEMBERED:
-                self._adjacent.clear()
-            self._adjacent[key] = known
+            if len(self.adjacent_pairs) >= REMEMBERED:
+                self.adjacent_pairs.clear()
+            self.adjacent_pairs[key] = known
         return known
 
 
@@ -104,73 +114,42 @@ class Transducer:
 
     def encode(self, piece: bytes) -> list[int]:
         m = self.merges
-        whole = m.id.get(piece)
-        if whole is not None:
-            return [whole]
-        if len(piece) <= m.lookahead:
-            return self._within(piece)
-        ids, adjacent, longest = m.id, m.adjacent, m.longest
         out: list[int] = []
-        base, before = 0, -1  # all before ``base`` is emitted; the last token there
-        last, start = [-1], [0]  # of each prefix of the window: its last token, and where that starts
-        check_at = 4 * longest
-        for end in range(1, len(piece) + 1):
-            n = end - base
-            for at in range(max(0, n - longest), n):
-                token = ids.get(piece[base + at : end])
-                if token is not None:
-                    left = last[at] if at else before
-                    if (left == -1 and not at) or (left != -1 and adjacent(left, token)):
-                        last.append(token)
-                        start.append(at)
-                        break
-            else:
-                last.append(-1)  # no encoding of the text ends here on a path through ``base``
-                start.append(-1)
-            if n >= check_at:
-                self.window = max(self.window, n)
-                cut = self._stable(piece, base, end, start)
+        base, before, size = 0, -1, 5 * max(1, m.lookahead)  # all before ``base`` is emitted; the last token there
+        while base < len(piece):
+            end = min(len(piece), base + size)
+            # of prefixes whose last token may begin at any byte of the window, that token and its start are known
+            known = end - base if end == len(piece) else end - base - m.longest
+            if known > 0:
+                last, start = self._prefixes(piece, base, end, known, before)
+                cut = known if end == len(piece) else self._stable(piece, base, known, start)
                 if cut:
+                    self.window = max(self.window, end - base)
                     out += self._path(last, start, cut)
-                    before, base = out[-1], base + cut
-                    last, start = [-1, *last[cut + 1 :]], [0, *(s - cut if s >= cut else -1 for s in start[cut + 1 :])]
-                    last = [t if k == 0 or s >= 0 else -1 for k, (t, s) in enumerate(zip(last, start))]
-                check_at = len(last) + 4 * longest
-        self.window = max(self.window, len(piece) - base)
-        return out + self._path(last, start, len(last) - 1)
-
-    def _within(self, piece: bytes) -> list[int]:
-        """A piece no longer than the lookahead: its path of tokens is searched longest first; a border from which there is no way on is not tried again."""
-        beginnings, adjacent, size = self.merges.beginnings, self.merges.adjacent, len(piece)
-        tokens: list[int] = []
-        ways: list[list[tuple[int, int]]] = []
-        dead: set[int] = set()
-        at = 0
-        while at < size:
-            left, way = tokens[-1] if tokens else -1, []
-            for end in range(at + 1, size + 1):
-                token = beginnings.get(piece[at:end])
+                    before, base, size = out[-1], base + cut, 5 * max(1, m.lookahead)
+                    continue
+            size *= 2
+        return out
+
+    def _prefixes(self, piece: bytes, base: int, end: int, known: int, before: int) -> tuple[list[int], list[int]]:
+        """The last token of each prefix of the window and where it starts; -1 for those that no path from ``base`` ends."""
+        beginnings, adjacent, seen, n = self.merges.beginnings.get, self.merges.adjacent, self.merges.adjacent_pairs.get, end - base
+        last, start = [-1] * (n + 1), [-1] * (n + 1)
+        start[0] = 0
+        for at in range(known):
+            if start[at] < 0:
+                continue
+            left, head = (last[at] if at else before), base + at
+            for to in range(at + 1, n + 1):
+                token = beginnings(piece[head : base + to])
                 if token is None:
                     break
-                if token >= 0:
-                    way.append((token, end))
-            ways.append(way)
-            while True:
-                way = ways[-1]
-                left = tokens[-1] if tokens else -1
-                while way:
-                    token, end = way.pop()
-                    if end not in dead and (left < 0 or adjacent(left, token)):
-                        break
-                else:
-                    ways.pop()
-                    dead.add(at)
-                    at -= len(self.merges.bytes[tokens.pop()])
-                    continue
-                break
-            tokens.append(token)
-            at = end
-        return tokens
+                # the longest token that may end here is the one; it was met first
+                if token >= 0 and start[to] < 0:
+                    fits = left < 0 or seen(left << 24 | token)
+                    if fits or (fits is None and adjacent(left, token)):
+                        last[to], start[to] = token, at
+        return last, start
 
     @staticmethod
     def _path(last: list[int], start: list[int], end: int) -> list[int]:
@@ -180,11 +159,11 @@ class Transducer:
             end = start[end]
         return tokens[::-1]
 
-    def _stable(self, piece: bytes, base: int, end: int, start: list[int]) -> int:
+    def _stable(self, piece: bytes, base: int, n: int, start: list[int]) -> int:
         """The last border shared by all encodings from which a later token may go on."""
-        n, shared = end - base, None
+        shared, end = None, base + n
         for at in range(n, max(-1, n - self.merges.longest), -1):
-            if at < n and (piece[base + at : end] not in self.merges.prefixes or (at and start[at] < 0)):
+            if start[at] < 0 or (at < n and piece[base + at : end] not in self.merges.prefixes):
                 continue
             borders, k = set(), at
             while k > 0:
@@ -208,7 +187,9 @@ class Encoder:
         if not text:
             return
         known, extend = self._pieces, out.extend
-        for piece in self._split.findall(text):
+        # a long text's pieces are not listed at once
+        pieces = self._split.findall(text) if len(text) <= LISTED else (m[0] for m in self._split.finditer(text))
+        for piece in pieces:
             ids = known.get(piece)
             if ids is None:
                 ids = tuple(self._transducer.encode(piece.encode("utf-8", "surrogatepass")))
