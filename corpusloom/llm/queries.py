@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import answers, encoding, language, mixing, names, near_duplicates, splitting
 from corpusloom.operators.components import connected_components
-from corpusloom.session import spread, table
+from corpusloom.session import spread, stage, table
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chunk that has near copies or exact ones, with its class, its group and the links of its class."""
     pairs, members = _near_chunks(spark, sf_dir)
-    pairs = near_duplicates.stage(pairs, "pairs")
+    pairs = stage(pairs, "pairs")
     groups = connected_components(pairs).withColumnsRenamed({"node": "class", "component": "group"})
     links = pairs.selectExpr("explode(array(a, b)) as class").groupBy("class").agg(F.count("*").alias("links"))
     sizes = members.groupBy("class").agg(F.count("*").alias("copies"))
@@ -83,6 +83,22 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1].withColumn("reached_share", F.round("reached_share", 6))
 
 
+def _full_mixture(spark: SparkSession, sf_dir: str):
+    docs = _texts(spark, sf_dir)
+    counts = stage(encoding.count_tokens(docs, ["source", "doc_id"]), "counts")
+    total = counts.agg(F.sum("n_tokens")).first()[0]
+    return mixing.mixture(counts, table(spark, sf_dir, "mix_targets"), total=float(total or 0))
+
+
+def p7_full_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the corpus has: small sources are used as often as they may be, the others give what those lack."""
+    return _full_mixture(spark, sf_dir)[0]
+
+
+def p7_full_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _full_mixture(spark, sf_dir)[1].withColumn("reached_share", F.round("reached_share", 6))
+
+
 _P1_FOUND = r"""
 select distinct c.chunk_id from chunks c join split_limits l on lower(trim(c.chunk_type)) = l.chunk_type
 where floor(len(regexp_extract_all(c.text, '[^\s\v\x1c-\x1f\x{85}\p{Z}]+')) * 13 / 10) > l.max_tokens
@@ -114,7 +130,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_defects, p3_found, p3_entities, p5_found, p5_groups, p6_ids, p6_roundtrip, p7_mixture, p7_shares, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_defects, p3_found, p3_entities, p5_found, p5_groups, p6_ids, p6_roundtrip, p7_mixture, p7_shares, p7_full_mixture, p7_full_shares, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
