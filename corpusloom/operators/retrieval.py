@@ -11,8 +11,6 @@ from corpusloom.functions import text as T
 from corpusloom.operators.documents import latest
 from corpusloom.session import stage
 
-#: Rows of one term are spread over so many tasks.
-SALT = 16
 #: Scores are rounded to so many digits before they are ranked, so that the order of additions decides nothing.
 DIGITS = 8
 
@@ -33,43 +31,78 @@ def terms(text: Column) -> Column:
     return T.let(F.filter(F.split(T.keyword_text(text), " "), lambda w: F.length(w) > 1), of)
 
 
-def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def hashed_terms(text: Column) -> Column:
+    """The terms of :func:`terms` as 64-bit hashes, each with whether it is a single word."""
+    words = F.transform(F.filter(F.split(T.keyword_text(text), " "), lambda w: F.length(w) > 1), lambda w: F.xxhash64(w))
 
+    def of(h: Column) -> Column:
+        pairs = F.filter(F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), lambda x: x.isNotNull())
+        return F.concat(F.transform(h, lambda x: F.struct(x.alias("term"), F.lit(True).alias("word"))), F.transform(pairs, lambda x: F.struct(x.alias("term"), F.lit(False).alias("word"))))
 
-def inverse_frequencies(counts: DataFrame, n: int) -> DataFrame:
-    """term, df and idf = ln((1 + n) / (1 + df)) + 1."""
-    return counts.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    return T.let(words, of)
 
 
-def tfidf_search(docs: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """qid, key, score, rank: the ``k`` texts nearest to each question (qid, question) by the cosine of TF-IDF vectors.
+def _hashed_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(key, F.explode(hashed_terms(F.col(text))).alias("x")).groupBy(key, F.col("x.term").alias("term"), F.col("x.word").alias("word")).agg(F.count("*").alias("tf"))
 
-    Ties go to the smaller key. Texts that share no term with a question have no score and do not come out. All
-    postings carry their text's norm; those of frequent terms are spread over SALT tasks. Counts and postings are written once and read by each of the steps that need them.
+
+class Index:
+    """A TF-IDF index of texts that is written once to a folder and then read by searches.
+
+    ``postings``: term, key, tf, word and w = tf * idf; ``lengths``: of each text the norm of its vector and its number
+    of different words; ``vocabulary``: term, df, idf. Terms are 64-bit hashes of words and of pairs of neighbours.
     """
-    n = docs.count()
-    counts = stage(term_counts(docs, key, text), "counts")
-    idf = inverse_frequencies(counts, n)
-    weighted = stage(counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w")), "postings")
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = term_counts(questions, "qid", "question").join(idf, "term").select("qid", "term", (F.col("tf") * F.col("idf")).alias("wq"))
-    lengths = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("q_norm"))
-    salted = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    # only postings of terms that are asked for go on; AQE broadcasts these terms if they turn out to be few
-    postings = weighted.join(asked.select("term").distinct(), "term", "left_semi").select("*", F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int").alias("salt"))
-    dots = postings.join(salted, ["term", "salt"]).groupBy("qid", key).agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
-    scored = dots.join(norms, key).join(lengths, "qid").select("qid", key, F.round(F.col("dot") / F.col("norm") / F.col("q_norm"), DIGITS).alias("score"))
-    return ranked(scored, k, key)
-
-
-def overlap_search(docs: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """The ``k`` texts that share most different words with each question, for their length: shared / sqrt(words)."""
-    bag = lambda c: F.array_distinct(F.filter(F.split(T.keyword_text(c), " "), lambda w: F.length(w) > 1))
-    have = docs.select(key, T.once(bag(text)).alias("b")).select(key, F.size("b").alias("n"), F.explode("b").alias("term"))
-    asked = questions.select("qid", F.explode(bag("question")).alias("term")).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    shared = have.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int")).join(asked, ["term", "salt"]).groupBy("qid", key).agg(F.count("*").alias("m"), F.max("n").alias("n"))
-    return ranked(shared.select("qid", key, F.round(F.col("m") / F.sqrt("n"), DIGITS).alias("score")), k, key)
+
+    def __init__(self, spark, path: str, key: str = "chunk_id"):
+        self.key = key
+        self.postings, self.lengths, self.vocabulary = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "vocabulary"))
+
+    @staticmethod
+    def build(docs: DataFrame, path: str, key: str = "chunk_id", text: str = "text") -> Index:
+        """Write the index of ``docs`` (one row for each key) under ``path``, which must not exist yet.
+
+        Texts without a term have no postings and a norm of 0; null texts count as texts, as they do for idf.
+        """
+        spark = docs.sparkSession
+        counts = stage(_hashed_counts(docs, key, text), "counts")
+        n = docs.count()
+        idf = counts.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+        idf.write.parquet(f"{path}/vocabulary")
+        counts.join(spark.read.parquet(f"{path}/vocabulary"), "term").select("term", key, "tf", "word", (F.col("tf") * F.col("idf")).alias("w")).write.parquet(f"{path}/postings")
+        lengths = spark.read.parquet(f"{path}/postings").groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count_if("word").alias("n_words"))
+        lengths.write.parquet(f"{path}/lengths")
+        return Index(spark, path, key)
+
+    def _asked(self, questions: DataFrame) -> DataFrame:
+        """The questions' terms that the vocabulary has; as many rows as they have terms, so that AQE sees their size."""
+        return _hashed_counts(questions, "qid", "question").join(self.vocabulary.select("term", "idf"), "term")
+
+    def search(self, questions: DataFrame, k: int) -> DataFrame:
+        """qid, key, score, rank: the ``k`` texts nearest to each question (qid, question) by the cosine of TF-IDF vectors.
+
+        Ties go to the smaller key. Texts that share no term with a question have no score and do not come out.
+        Postings go to the questions' terms: without a shuffle if these are few, else by term.
+        """
+        asked = self._asked(questions).select("qid", "term", (F.col("tf") * F.col("idf")).alias("wq"))
+        norms = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("q_norm"))
+        dots = self.postings.select("term", self.key, "w").join(asked, "term").groupBy("qid", self.key).agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
+        scored = dots.join(self.lengths.select(self.key, "norm"), self.key).join(norms, "qid")
+        return ranked(scored.select("qid", self.key, F.round(F.col("dot") / F.col("norm") / F.col("q_norm"), DIGITS).alias("score")), k, self.key)
+
+    def overlap(self, questions: DataFrame, k: int) -> DataFrame:
+        """The ``k`` texts that share most different words with each question, for their length: shared / sqrt(words)."""
+        asked = self._asked(questions).where("word").select("qid", "term")
+        shared = self.postings.where("word").select("term", self.key).join(asked, "term").groupBy("qid", self.key).agg(F.count("*").alias("m"))
+        scored = shared.join(self.lengths.select(self.key, "n_words"), self.key)
+        return ranked(scored.select("qid", self.key, F.round(F.col("m") / F.sqrt("n_words"), DIGITS).alias("score")), k, self.key)
+
+    def frequent(self, docs: DataFrame, most: int, text: str = "text") -> DataFrame:
+        """The ``most`` terms in most texts as they are written, with df and idf; ties go to the smaller term."""
+        least = self.vocabulary.select("df").orderBy(F.desc("df")).limit(most).agg(F.min("df").alias("least"))
+        top = self.vocabulary.join(F.broadcast(least), F.col("df") >= F.col("least")).drop("least")
+        word = F.when(F.size("p") == 1, F.xxhash64(F.col("p")[0])).otherwise(F.xxhash64(F.xxhash64(F.col("p")[0]), F.xxhash64(F.try_element_at("p", F.lit(2)))))
+        written = docs.select(F.explode(terms(F.col(text))).alias("written")).select("written", F.split("written", " ").alias("p")).select("written", word.alias("term"))
+        return written.join(top, "term").groupBy("written", "df", "idf").agg(F.lit(1).alias("one")).select(F.col("written").alias("term"), "df", "idf").orderBy(F.desc("df"), "term").limit(most)
 
 
 def ranked(scored: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
@@ -93,6 +126,12 @@ def cap_per_document(rows: DataFrame, cap: int = 1) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
 
 
+def reranked(rows: DataFrame, score: Column) -> DataFrame:
+    """qid, chunk_id, prior, score, rank of rows (qid, chunk_id, prior, ...) in the order of any score over their columns, ties in the order before."""
+    rows = rows.select("qid", "chunk_id", "prior", score.alias("score"))
+    return rows.selectExpr("*", "row_number() over (partition by qid order by score desc, prior) as rank")
+
+
 def within_budget(rows: DataFrame, budget: int, most: int = 20) -> DataFrame:
     """Rows (qid, rank, chunk_id, tokens) taken in order of rank: one that would exceed the budget is passed over, the first is always taken, ``most`` at most.
 

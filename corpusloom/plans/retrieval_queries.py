@@ -8,15 +8,30 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import retrieval as R
 from corpusloom.plans import sql as S
-from corpusloom.session import stage, table
+from corpusloom.session import new_folder, stage, table
 
 
 #: How many the reference takes of each ranking and after the fusion; the queries named _deep do so.
 DEPTH = 300
 
 
+#: The index of each data folder and its passages, built when first asked for and kept for the session.
+_KEPT: dict[tuple[str, str], tuple[str, DataFrame]] = {}
+
+
 def _passages(spark, d):
-    return R.passages(table(spark, d, "chunks"))
+    return _index(spark, d)[1]
+
+
+def _index(spark, d) -> tuple[R.Index, DataFrame]:
+    named = (spark.sparkContext.applicationId, d)
+    if named not in _KEPT:
+        passages = stage(R.passages(table(spark, d, "chunks")), "passages")
+        path = new_folder(spark, "index")
+        R.Index.build(passages, path)
+        _KEPT[named] = path, passages
+    path, passages = _KEPT[named]
+    return R.Index(spark, path), passages
 
 
 def _questions(spark, d):
@@ -26,93 +41,85 @@ def _questions(spark, d):
 
 def tfidf_index(spark: SparkSession, d: str) -> DataFrame:
     """The 50 terms in most passages."""
-    rows = _passages(spark, d)
-    idf = R.inverse_frequencies(R.term_counts(rows, "chunk_id", "text"), rows.count())
-    return idf.withColumn("idf", F.round("idf", 6)).orderBy(F.desc("df"), "term").limit(50)
+    index, passages = _index(spark, d)
+    return index.frequent(passages, 50).withColumn("idf", F.round("idf", 6))
 
 
 def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.tfidf_search(_passages(spark, d), _questions(spark, d), 5)
+    return _index(spark, d)[0].search(_questions(spark, d), 5)
 
 
 def overlap_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.overlap_search(_passages(spark, d), _questions(spark, d), 5)
+    return _index(spark, d)[0].overlap(_questions(spark, d), 5)
+
+
+def _fused(spark, d, depth, limit):
+    index, questions = _index(spark, d)[0], _questions(spark, d)
+    return R.fuse_ranks([index.search(questions, depth), index.overlap(questions, depth)], limit=limit)
 
 
 def rrf(spark: SparkSession, d: str) -> DataFrame:
-    passages, questions = stage(_passages(spark, d), "passages"), _questions(spark, d)
-    return R.fuse_ranks([R.tfidf_search(passages, questions, 50), R.overlap_search(passages, questions, 50)], limit=20)
+    return _fused(spark, d, 50, 20)
 
 
-def _hybrid(spark, d):
-    passages, questions = stage(_passages(spark, d), "passages"), _questions(spark, d)
-    fused = R.fuse_ranks([R.tfidf_search(passages, questions, 50), R.overlap_search(passages, questions, 50)], limit=60)
-    return R.cap_per_document(fused.join(passages, "chunk_id"), 1)
+def _one_a_document(spark, d, depth, limit):
+    return R.cap_per_document(_fused(spark, d, depth, limit).join(_passages(spark, d), "chunk_id"), 1)
 
 
 def dedup_per_doc(spark: SparkSession, d: str) -> DataFrame:
-    return _hybrid(spark, d).select("qid", "rank", "chunk_id", "doc_id")
+    return _one_a_document(spark, d, 50, 60).select("qid", "rank", "chunk_id", "doc_id")
 
 
-def _context(spark, d):
-    rows = stage(_hybrid(spark, d).withColumn("tokens", T.approx_tokens("text")), "hybrid")
+def _context(spark, d, depth, limit):
+    rows = stage(_one_a_document(spark, d, depth, limit).withColumn("tokens", T.approx_tokens("text")), "fused")
     return R.within_budget(rows, budget=1000, most=20), rows
 
 
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
-    return _context(spark, d)[0]
+    return _context(spark, d, 50, 60)[0]
 
 
-def evidence_format(spark: SparkSession, d: str) -> DataFrame:
-    taken, rows = _context(spark, d)
+def _evidence(spark, d, depth, limit):
+    taken, rows = _context(spark, d, depth, limit)
     found = R.evidence(taken.join(rows.drop("tokens", "rank"), ["qid", "chunk_id"]))
     return found.select("qid", F.length("evidence").alias("n_chars"), F.sha2("evidence", 256).alias("hash"))
 
 
+def evidence_format(spark: SparkSession, d: str) -> DataFrame:
+    return _evidence(spark, d, 50, 60)
+
+
 def rerank(spark: SparkSession, d: str) -> DataFrame:
     """The candidates of the fusion in the order of a stand-in for a scoring model: the part of the question's words that they have."""
     return _reranked(spark, d, 50, 20)
 
 
-def _reranked(spark, d, depth, limit):
-    passages, questions = stage(_passages(spark, d), "passages"), _questions(spark, d)
-    fused = R.fuse_ranks([R.tfidf_search(passages, questions, depth), R.overlap_search(passages, questions, depth)], limit=limit)
+def word_share(question: str, text: str):
+    """The stand-in for a scoring model: the part of the question's different words that a text has."""
     bag = lambda c: F.array_distinct(F.filter(F.split(T.keyword_text(c), " "), lambda w: F.length(w) > 1))
-    rows = fused.select("qid", "chunk_id", F.col("rank").alias("prior")).join(passages.select("chunk_id", "text"), "chunk_id").join(questions, "qid")
-    score = F.round(F.size(F.array_intersect(bag("text"), bag("question"))) / F.size(bag("question")), 6)
-    rows = rows.select("qid", "chunk_id", "prior", score.alias("score"))
-    return rows.selectExpr("*", "row_number() over (partition by qid order by score desc, prior) as rank")
+    return F.round(F.size(F.array_intersect(bag(text), bag(question))) / F.size(bag(question)), 6)
 
 
-def _deep(spark, d):
-    """The reference's depth: 300 of each ranking and 300 after the fusion."""
-    passages, questions = stage(_passages(spark, d), "passages"), _questions(spark, d)
-    fused = R.fuse_ranks([R.tfidf_search(passages, questions, DEPTH), R.overlap_search(passages, questions, DEPTH)], limit=DEPTH)
-    return R.cap_per_document(fused.join(passages, "chunk_id"), 1)
+def _reranked(spark, d, depth, limit):
+    fused = _fused(spark, d, depth, limit).select("qid", "chunk_id", F.col("rank").alias("prior"))
+    rows = fused.join(_passages(spark, d).select("chunk_id", "text"), "chunk_id").join(_questions(spark, d), "qid")
+    return R.reranked(rows, word_share("question", "text"))
 
 
 def dedup_per_doc_deep(spark: SparkSession, d: str) -> DataFrame:
-    return _deep(spark, d).select("qid", "rank", "chunk_id", "doc_id")
-
-
-def _context_deep(spark, d):
-    rows = stage(_deep(spark, d).withColumn("tokens", T.approx_tokens("text")), "hybrid")
-    return R.within_budget(rows, budget=1000, most=20), rows
+    return _one_a_document(spark, d, DEPTH, DEPTH).select("qid", "rank", "chunk_id", "doc_id")
 
 
 def context_budget_deep(spark: SparkSession, d: str) -> DataFrame:
-    return _context_deep(spark, d)[0]
+    return _context(spark, d, DEPTH, DEPTH)[0]
 
 
 def evidence_format_deep(spark: SparkSession, d: str) -> DataFrame:
-    taken, rows = _context_deep(spark, d)
-    found = R.evidence(taken.join(rows.drop("tokens", "rank"), ["qid", "chunk_id"]))
-    return found.select("qid", F.length("evidence").alias("n_chars"), F.sha2("evidence", 256).alias("hash"))
+    return _evidence(spark, d, DEPTH, DEPTH)
 
 
 def rrf_deep(spark: SparkSession, d: str) -> DataFrame:
-    passages, questions = stage(_passages(spark, d), "passages"), _questions(spark, d)
-    return R.fuse_ranks([R.tfidf_search(passages, questions, DEPTH), R.overlap_search(passages, questions, DEPTH)], limit=DEPTH)
+    return _fused(spark, d, DEPTH, DEPTH)
 
 
 def rerank_deep(spark: SparkSession, d: str) -> DataFrame:

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import documents
 from corpusloom.plans import sql as S
-from corpusloom.session import shared_dir, stage, table
+from corpusloom.session import new_folder, stage, table
 from corpusloom.sources import jsonl
 from corpusloom.streaming import ingest
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/corpusloom-{spark.sparkContext.applicationId}/io-{uuid.uuid4().hex}"
+    return new_folder(spark, "io")
 
 
 def jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,12 +31,30 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
-    return _LOCAL_DIRS.setdefault(app, tempfile.mkdtemp(prefix="corpusloom-"))
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, _LOCAL_DIRS[app], ignore_errors=True)
+    return _LOCAL_DIRS[app]
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder in the shared one that holds all that this application writes for itself."""
+    return f"{shared_dir(spark)}/corpusloom-{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: later steps neither recompute it nor depend on any one executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Remove all that this application has staged. Results that are not written yet read their stages: only afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
