@@ -1,9 +1,13 @@
-"""Column expressions over text. Everything here stays inside the JVM."""
+"""Column expressions over text. All but :func:`nfkd`, which Spark has not, stay inside the JVM."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed value: what separates words, as Unicode sees white space (no-break and other spaces included).
 BLANK = r"[\s\x1c-\x1f]"
@@ -117,3 +121,25 @@ def join_groups(items: Column, starts: Column, separator: str) -> Column:
 def pack(items: Column, limit: int, separator: str) -> Column:
     """Items joined in order as long as their approximate tokens sum to at most ``limit``."""
     return let(items, lambda bound: let(greedy_starts(F.transform(bound, approx_tokens), limit), lambda starts: join_groups(bound, starts, separator)))
+
+
+@F.pandas_udf(StringType())
+def nfkd(texts: pd.Series) -> pd.Series:
+    """Compatibility decomposition, batch by batch; null stays null."""
+    return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
+
+
+def sanitize(c: Column | str, most: int = 1000) -> Column:
+    """Decomposed, ASCII only, runs of blanks one, at most one empty line in a row, cut to ``most`` characters, stripped."""
+    plain = F.regexp_replace(nfkd(_col(c)), r"[^\x00-\x7f]+", "")
+    return F.trim(F.substring(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r"\n{3,}", "\n\n"), 1, most))
+
+
+def char_tokens(c: Column | str) -> Column:
+    """A token for every four characters, rounded down."""
+    return F.floor(F.length(_col(c)) / 4).cast("int")
+
+
+def whole_number(c: Column | str) -> Column:
+    """The number that a text is, blanks around it apart; null if it is none or has more than 18 digits."""
+    return F.when(F.trim(_col(c)).rlike(r"^[+-]?[0-9]{1,18}$"), F.trim(_col(c)).cast("bigint"))

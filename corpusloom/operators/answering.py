@@ -22,7 +22,6 @@ _KINDS = "(?:competitors|athletes|participants|nations|fencers|shooters|skiers)"
 COUNT_AFTER = rf"(?i){_KINDS}\s*[:=]?\s*([0-9]{{1,3}})"
 COUNT_BEFORE = rf"(?i)([0-9]{{1,3}})\s+{_KINDS}"
 THRESHOLD = r"(?:more than|exceeded)\s+([0-9]+)|>\s*([0-9]+)"
-SALT = 16
 
 
 def _any(c: Column, words) -> Column:
@@ -69,15 +68,45 @@ def _asked(questions: DataFrame) -> DataFrame:
     return questions.where("question is not null").select("qid", terms.alias("terms"), F.array_distinct(years(F.col("question"))).alias("years"), women.alias("women"), men.alias("men"))
 
 
+def _trigrams(c: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda k: F.substr(c, k, F.lit(3))))
+
+
+def _sharing_titles(asked: DataFrame, titles: DataFrame) -> DataFrame:
+    """qid and doc_id of the titles that have one of a question's terms, or the words by which the sexes are told, as a part.
+
+    Each different term is looked up under that of its trigrams that fewest titles have; what is found there is compared.
+    """
+    sexes = F.concat(F.when(F.col("women"), F.array(F.lit("women"), F.lit("female"))).otherwise(F.array().cast("array<string>")), F.when(F.col("men"), F.array(F.lit("men"))).otherwise(F.array().cast("array<string>")))
+    probes = asked.select("qid", F.explode(F.array_distinct(F.concat("terms", sexes))).alias("probe")).distinct()
+    grams = titles.select("doc_id", "title", F.explode(_trigrams(F.col("title"))).alias("gram"))
+    counted = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    parts = probes.select("probe").distinct().select("probe", F.explode(_trigrams(F.col("probe"))).alias("gram"))
+    # a term of which some trigram is in no title is in no title
+    keys = parts.join(counted, "gram", "left").groupBy("probe").agg(F.count_if(F.col("df").isNull()).alias("lacking"), F.min_by("gram", F.struct("df", "gram")).alias("gram")).where("lacking = 0")
+    found = grams.join(keys.select("probe", "gram"), "gram").where(F.col("title").contains(F.col("probe"))).select("probe", "doc_id").distinct()
+    return probes.join(found, "probe").select("qid", "doc_id").distinct()
+
+
 def _with_titles(questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """Every question with the documents whose title has one of its years; a question without a year meets all of them, spread over SALT tasks."""
+    """Every question with the documents whose title has one of its years; one without a year with those whose title shares a term with it. No other title has a score."""
     asked = _asked(questions)
     windows = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("title") - 3, F.lit(1))), lambda k: F.col("title").substr(k, F.lit(4))), lambda w: w.rlike("^(19|20)[0-9][0-9]$")))
     titles = docs.where("title <> ''").select("doc_id", F.lower("title").alias("title"))
-    dated = asked.where("size(years) > 0").select("*", F.explode("years").alias("y")).join(titles.select("*", F.explode(windows).alias("y")), "y").drop("y").dropDuplicates(["qid", "doc_id"])
-    undated = asked.where("size(years) = 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    rest = undated.join(titles.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")), "salt").drop("salt")
-    return dated.unionByName(rest)
+    # distinct terms and years first: then AQE sees the size of what the titles are joined with
+    years_asked = asked.select("qid", F.explode("years").alias("y")).distinct()
+    dated = years_asked.join(titles.select("doc_id", F.explode(windows).alias("y")), "y").select("qid", "doc_id").distinct()
+    undated = _sharing_titles(asked.where("size(years) = 0"), titles)
+    return dated.unionByName(undated).join(asked, "qid").join(titles, "doc_id")
+
+
+def _holding(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """word and term of the words that have a term as a part, by the trigram of the term that fewest words have."""
+    grams = words.select("word", F.explode(_trigrams(F.col("word"))).alias("gram"))
+    counted = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    parts = terms.select("term", F.explode(_trigrams(F.col("term"))).alias("gram"))
+    keys = parts.join(counted, "gram", "left").groupBy("term").agg(F.count_if(F.col("df").isNull()).alias("lacking"), F.min_by("gram", F.struct("df", "gram")).alias("gram")).where("lacking = 0")
+    return grams.join(keys.select("term", "gram"), "gram").where(F.col("word").contains(F.col("term"))).select("word", "term").distinct()
 
 
 def candidates(questions: DataFrame, docs: DataFrame, most: int = 15) -> DataFrame:
@@ -95,7 +124,17 @@ def candidates(questions: DataFrame, docs: DataFrame, most: int = 15) -> DataFra
 
 def candidates_by_text(questions: DataFrame, docs: DataFrame, most: int = 15) -> DataFrame:
     """As :func:`candidates`: three for each term in the title and one for each in the document's text."""
-    rows = _with_titles(questions, docs).join(docs.select("doc_id", F.lower("text").alias("text")), "doc_id")
+    asked = _asked(questions)
+    titled = _with_titles(questions.where(F.size(F.array_distinct(years(F.col("question")))) > 0), docs).select("qid", "doc_id", "terms", "title")
+    # a question without a year may find its terms in any text: by words that begin with or hold them
+    undated = asked.where("size(years) = 0")
+    titles = docs.where("title <> ''").select("doc_id", F.lower("title").alias("title"), F.lower("text").alias("text"))
+    words = titles.select("doc_id", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "title", "text"), r"[^\p{L}\p{N}_]+"))).alias("word")).where(F.length("word") > 2)
+    terms_asked = undated.select("qid", F.explode(F.array_distinct("terms")).alias("term")).distinct()
+    vocabulary = _holding(words.select("word").distinct(), terms_asked.select("term").distinct())
+    shared = words.join(vocabulary, "word").select("term", "doc_id").distinct().join(terms_asked, "term").select("qid", "doc_id").distinct()
+    titled = titled.unionByName(shared.join(undated.select("qid", "terms"), "qid").join(titles.select("doc_id", "title"), "doc_id").select("qid", "doc_id", "terms", "title"))
+    rows = titled.join(docs.select("doc_id", F.lower("text").alias("text")), "doc_id")
     t, x = F.col("title"), F.col("text")
     score = F.size(F.filter("terms", lambda w: t.contains(w))) * 3 + F.size(F.filter("terms", lambda w: x.contains(w)))
     scored = rows.select("qid", "doc_id", score.alias("score")).where("score > 0")
@@ -213,3 +252,30 @@ def previous_editions(entities: DataFrame) -> DataFrame:
     event = F.regexp_extract(T.collapse("name"), r"^(.+) at the ([0-9]{4}) .* Games [–-] (.+)$", 3)
     rows = entities.where("name is not null").select(F.concat_ws(" / ", parts, event).alias("series"), F.nullif(year, F.lit("")).cast("int").alias("year")).where("year is not null").distinct()
     return rows.select("series", "year", F.lag("year").over(Window.partitionBy("series").orderBy("year")).alias("previous"))
+
+
+def next_editions(entities: DataFrame) -> DataFrame:
+    """series, year, following: of every event that is held again, when it is held next."""
+    rows = previous_editions(entities)
+    return rows.select("series", "year", F.lead("year").over(Window.partitionBy("series").orderBy("year")).alias("following"))
+
+
+def joined_summaries(found: DataFrame, lines: DataFrame, characters: int = 6000) -> DataFrame:
+    """qid and context: the summaries of a question's candidates (a ranking, cut by the search) in their order, cut to ``characters``."""
+    rows = found.select("qid", "doc_id", "rank").join(lines, "doc_id")
+    lists = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "summary"))).alias("l"))
+    return lists.select("qid", F.substring(F.array_join(F.transform("l", lambda x: x["summary"]), "\n"), 1, characters).alias("context"))
+
+
+def fuse(questions: DataFrame, summarised: DataFrame, evidence: DataFrame, characters: int = 12000) -> DataFrame:
+    """qid, intent and context of every question: counts and maxima take the summaries, others the evidence; cut to ``characters``, empty where there is none."""
+    rows = route(questions).select("qid", "intent").join(summarised.select("qid", F.col("context").alias("s")), "qid", "left").join(evidence.select("qid", F.col("context").alias("e")), "qid", "left")
+    context = F.when(F.col("intent").isin("AGGREGATION", "SUPERLATIVE"), F.col("s")).otherwise(F.col("e"))
+    return rows.select("qid", "intent", F.substring(F.coalesce(context, F.lit("")), 1, characters).alias("context"))
+
+
+def answered(questions: DataFrame, above: DataFrame, most: DataFrame, titles: DataFrame) -> DataFrame:
+    """qid, intent, answer: the count for a threshold, the title for a maximum, else what is said where nothing is found."""
+    rows = route(questions).select("qid", "intent").join(above.select("qid", "n_above"), "qid", "left").join(most.join(titles.select("doc_id", "title"), "doc_id").select("qid", "title"), "qid", "left")
+    answer = F.when((F.col("intent") == "AGGREGATION") & F.col("n_above").isNotNull(), F.col("n_above").cast("string")).when((F.col("intent") == "SUPERLATIVE") & F.col("title").isNotNull(), F.col("title"))
+    return rows.select("qid", "intent", F.coalesce(answer, F.lit("Failed to generate answer")).alias("answer"))

@@ -105,6 +105,20 @@ def merged_attributes(entities: DataFrame) -> DataFrame:
     return rows.groupBy("type", "key", "attribute").agg(F.max_by("value", F.struct("extracted_at", "value")).alias("value"))
 
 
+def chunks_of_entities(entities: DataFrame) -> DataFrame:
+    """Of each merged entity its different chunks, each with the time of its first mention there, by which they are ordered. A row each, so a much mentioned entity is no single row."""
+    rows = entity_rows(entities).where("name is not null and chunk_id <> ''")
+    return rows.groupBy("type", F.lower("name").alias("key"), "chunk_id").agg(F.min("extracted_at").alias("first_seen"))
+
+
+def capped_mentions(entities: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """chunk_id, type, id of the chunks worth extracting: of each chunk the first ids of the types in ``caps``, so many at most."""
+    rows = entity_rows(entities).where("chunk_id <> ''").select("chunk_id", "type", "id").where(F.col("type").isin(list(caps))).distinct()
+    most = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])[F.col("type")]
+    kept = rows.selectExpr("*", "row_number() over (partition by chunk_id, type order by id) as n").where(F.col("n") <= most)
+    return kept.join(worth_extracting(entities), "chunk_id", "left_semi").select("chunk_id", "type", "id")
+
+
 def merged_relations(relations: DataFrame) -> DataFrame:
     """Relations put together by ends, name and medal: how many say so, and in how many chunks."""
     rows = relation_rows(relations).where("source is not null and target is not null")

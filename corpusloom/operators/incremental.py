@@ -22,3 +22,21 @@ def changed_rows(stored: DataFrame, delivered: DataFrame, key: str = "chunk_id",
 def changes(stored: DataFrame, delivered: DataFrame, key: str = "chunk_id", text: str = "text", arrived: str = "ingested_at") -> DataFrame:
     """How many keys are new, changed and the same."""
     return changed_rows(stored, delivered, key, text, arrived).groupBy("change").agg(F.count("*").alias("n"))
+
+
+def load(delivered: DataFrame, folder: str, number: int, key: str = "chunk_id", text: str = "text", arrived: str = "ingested_at") -> DataFrame:
+    """Load number ``number`` (from 1) into ``folder``: rows of new and changed keys are written, and the state (key, hash) for the next load. Gives how many keys are new, changed and the same.
+
+    A load that is repeated after a failure overwrites what it wrote. Keys that are not delivered stay in the state.
+    """
+    spark = delivered.sparkSession
+    new = _state(delivered, key, text, arrived)
+    old = spark.read.parquet(f"{folder}/state/load={number - 1}") if number > 1 else spark.createDataFrame([], new.schema)
+    both = new.withColumn("here", F.lit(True)).join(old.withColumnRenamed("hash", "old").withColumn("known", F.lit(True)), "key", "full")
+    change = F.when(F.col("here").isNull(), "kept").when(F.col("known").isNull(), "new").when(~F.col("old").eqNullSafe(F.col("hash")), "changed").otherwise("same")
+    both.select("key", F.when(F.col("here").isNull(), F.col("old")).otherwise(F.col("hash")).alias("hash"), change.alias("change")).write.mode("overwrite").parquet(f"{folder}/changes/load={number}")
+    judged = spark.read.parquet(f"{folder}/changes/load={number}")
+    judged.select("key", "hash").write.mode("overwrite").parquet(f"{folder}/state/load={number}")
+    fresh = judged.where("change in ('new', 'changed')").select(F.col("key").alias(key))
+    delivered.join(fresh, key, "left_semi").write.mode("overwrite").parquet(f"{folder}/rows/load={number}")
+    return judged.where("change <> 'kept'").groupBy("change").agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators.chunking import is_heading
 from corpusloom.schemas import CHUNK_TYPES
+from corpusloom.session import stage
 
 
 def chunk_errors(chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -59,10 +60,38 @@ def _bag_difference(original: DataFrame, kept: DataFrame, item: str) -> DataFram
     return counted.groupBy("doc_id").agg(F.sum("a").alias("n_original"), F.sum("b").alias("n_chunks"), F.sum(F.abs(F.col("a") - F.col("b"))).alias("n_differing"))
 
 
+def _word_bag(c: Column | str) -> Column:
+    """Of a text its number of words and two sums of hashes of them, which are the same for the same bag of words."""
+    words = T.words(c)
+    total = lambda seed: F.aggregate(words, F.lit(0).cast("decimal(38,0)"), lambda s, w: (s + F.xxhash64(w, F.lit(seed)).cast("decimal(20,0)")).cast("decimal(38,0)"))
+    return F.struct(F.size(words).alias("n"), total(1).alias("one"), total(2).alias("two"))
+
+
 def token_differences(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The words of each document (headings apart) against those of its chunks, as bags."""
-    words = lambda df, c: df.select("doc_id", F.explode(T.words(c)).alias("word"))
-    return _bag_difference(words(body_lines(docs), "line"), words(chunks, "text"), "word")
+    """The words of each document (headings apart) against those of its chunks, as bags.
+
+    Rows are summed up first, a few numbers each; the words themselves are only shuffled of documents whose sums differ.
+    """
+    bags = body_lines(docs).select("doc_id", _word_bag("line").alias("w"), F.lit(1).alias("side")).unionByName(chunks.select("doc_id", _word_bag("text").alias("w"), F.lit(-1).alias("side")))
+    signed = lambda x: F.sum(F.col(f"w.{x}") * F.col("side"))
+    side = lambda k: F.sum(F.when(F.col("side") == k, F.col("w.n")).otherwise(0))
+    sums = stage(bags.groupBy("doc_id").agg(side(1).alias("n_original"), side(-1).alias("n_chunks"), (F.coalesce(signed("one") == 0, F.lit(False)) & F.coalesce(signed("two") == 0, F.lit(False))).alias("same")), "bags")
+    same = sums.where("same and n_original + n_chunks > 0").select("doc_id", "n_original", "n_chunks", F.lit(0).cast("long").alias("n_differing"))
+    other = sums.where("not same").select("doc_id")
+    words = lambda df, c: df.join(other, "doc_id", "left_semi").select("doc_id", F.explode(T.words(c)).alias("word"))
+    return same.unionByName(_bag_difference(words(body_lines(docs), "line"), words(chunks, "text"), "word"))
+
+
+def ordered_content(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, same_order, token_ratio, char_ratio, lossless: the text of each document (headings apart, white space collapsed) against that of its chunks in their order.
+
+    A document's chunks are put together again, which is as much as its own text. Documents without words are left out.
+    """
+    original = docs.where("text is not null").select("doc_id", T.collapse(F.array_join(F.filter(T.clean_lines("text"), lambda x: ~is_heading(x)), " ")).alias("a")).where("a <> ''")
+    kept = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("l"))
+    kept = kept.select("doc_id", T.collapse(F.array_join(F.transform("l", lambda x: x["text"]), " ")).alias("b"))
+    ratio = F.length(F.replace("b", F.lit(" "), F.lit(""))) / F.length(F.replace("a", F.lit(" "), F.lit("")))
+    return original.join(kept, "doc_id", "left").select("doc_id", (F.col("a") == F.coalesce("b", F.lit(""))).alias("same_order"), F.round(T.word_count("b") / T.word_count("a"), 6).alias("token_ratio"), F.round(ratio, 6).alias("char_ratio"), (ratio >= 0.995).alias("lossless"))
 
 
 def line_differences(docs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -155,42 +155,35 @@ def evidence(rows: DataFrame) -> DataFrame:
     return lists.select("qid", F.array_join(F.transform("l", lambda x: x["e"]), "\n\n").alias("evidence"))
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """query_id, vec_id, distance (1 - cosine), rank: exact nearest neighbours of every query among all vectors, itself apart.
+def _matrices(rows) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Vectors by their length: places, rows, norms."""
+    sizes: dict[int, list[int]] = {}
+    for place, x in enumerate(rows):
+        sizes.setdefault(len(x), []).append(place)
+    out = {}
+    for size, places in sizes.items():
+        m = np.asarray([rows[p] for p in places], dtype=float)
+        out[size] = np.asarray(places), m, np.linalg.norm(m, axis=1)
+    return out
 
-    Both sides are cut into blocks of at most about ``block`` vectors; every query block meets every block in one
-    matrix product, whose best ``k`` are kept. Vectors that are null, empty, zero or of another length than the
-    query are no neighbours. Ties go to the smaller id.
-    """
-    parts = lambda df: max(1, -(-df.count() // block))
-    tasks = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    good = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-    sides = {}
-    for name, df in (("v", vectors), ("q", queries)):
-        n = parts(df)
-        rows = df.where(good).select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"))
-        sides[name] = rows.groupBy("block").agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.collect_list(F.col("embedding").cast("array<double>")).alias(f"{name}_rows")), n
-    v, q = sides["v"][0], sides["q"][0].withColumnRenamed("block", "q_block")
-    # each block of vectors is asked by all query blocks
-    pairs = v.select("*", F.explode(F.sequence(F.lit(0), F.lit(sides["q"][1] - 1))).alias("q_block")).repartition(min(tasks * 4, max(tasks, sides["v"][1])), "block", "q_block").join(q, "q_block")
-
-    def matrices(rows) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Vectors by their length: places, rows, norms."""
-        sizes: dict[int, list[int]] = {}
-        for place, x in enumerate(rows):
-            sizes.setdefault(len(x), []).append(place)
-        out = {}
-        for size, places in sizes.items():
-            m = np.asarray([rows[p] for p in places], dtype=float)
-            out[size] = np.asarray(places), m, np.linalg.norm(m, axis=1)
-        return out
+
+#: What can be a neighbour.
+_USABLE = "embedding is not null and size(embedding) > 0"
+
+
+def _block_rows(df: DataFrame, name: str, by: list[str]) -> DataFrame:
+    return df.groupBy(*by).agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.collect_list(F.col("embedding").cast("array<double>")).alias(f"{name}_rows"))
+
+
+def _nearest(pairs: DataFrame, k: int, query_type: str, id_type: str) -> DataFrame:
+    """The ``k`` nearest of all pairs of blocks (v_ids, v_rows, q_ids, q_rows), by one matrix product a pair."""
 
     def nearest(frames):
         for frame in frames:
             out = []
             for vi, vr, qi, qr in zip(frame["v_ids"], frame["v_rows"], frame["q_ids"], frame["q_rows"]):
-                have = matrices(vr)
-                for size, (asked, q, q_norms) in matrices(qr).items():
+                have = _matrices(vr)
+                for size, (asked, q, q_norms) in _matrices(qr).items():
                     if size not in have:
                         continue
                     places, m, norms = have[size]
@@ -202,6 +195,106 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1
                         out += [(qi[at], ids[j], distance[j]) for j in np.lexsort((ids, distance))[:k] if np.isfinite(distance[j])]
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "distance"])
 
-    found = pairs.select("v_ids", "v_rows", "q_ids", "q_rows").mapInPandas(nearest, "query_id long, vec_id long, distance double")
+    found = pairs.select("v_ids", "v_rows", "q_ids", "q_rows").mapInPandas(nearest, f"query_id {query_type}, vec_id {id_type}, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _id_type(df: DataFrame) -> str:
+    return df.schema["vec_id"].dataType.simpleString()
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """query_id, vec_id, distance (1 - cosine), rank: exact nearest neighbours of every query among all vectors, itself apart.
+
+    Both sides (vec_id, embedding) are cut into blocks of at most about ``block`` vectors; every query block meets
+    every block in one matrix product, whose best ``k`` are kept. For a bounded set of queries; where they grow with
+    the vectors, :class:`VectorIndex` is the way. Vectors that are null, empty, zero or of another length than the
+    query are no neighbours. Ties go to the smaller id.
+    """
+    tasks = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sides = {}
+    for name, df in (("v", vectors), ("q", queries)):
+        n = max(1, -(-df.count() // block))
+        rows = df.where(_USABLE).select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"))
+        sides[name] = _block_rows(rows, name, ["block"]), n
+    v, q = sides["v"][0], sides["q"][0].withColumnRenamed("block", "q_block")
+    # each block of vectors is asked by all query blocks; those copies are no small side of a join
+    pairs = v.select("*", F.explode(F.sequence(F.lit(0), F.lit(sides["q"][1] - 1))).alias("q_block")).repartition(min(tasks * 4, max(tasks, sides["v"][1])), "block", "q_block").join(q.hint("merge"), "q_block")
+    return _nearest(pairs, k, _id_type(queries), _id_type(vectors))
+
+
+class VectorIndex:
+    """Every vector in one of ``cells`` cells, that of the nearest centroid; queries ask the nearest cells only.
+
+    Centroids are fitted by k-means on at most ``sample`` vectors, those of smallest hash of their id, of the length
+    that most of these have. Vectors of other lengths are in a cell of their own, which queries of other lengths ask.
+    All vectors are in the index but null, empty and zero ones, which are no neighbours of anything. How many cells a
+    query asks is measured on the sample: so many that ``recall`` of the nearest ten of 200 of its vectors are in them.
+    """
+
+    def __init__(self, vectors: DataFrame, cells: int | None = None, recall: float = 0.95, sample: int = 20_000, rounds: int = 10, seed: int = 3):
+        known = vectors.where(_USABLE).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+        self.id_type = _id_type(vectors)
+        taken = [np.asarray(r.embedding) for r in known.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
+        sizes = [len(x) for x in taken]
+        self.size = max(set(sizes), key=sizes.count) if sizes else 0
+        points = np.asarray([x / np.linalg.norm(x) for x in taken if len(x) == self.size and np.linalg.norm(x) > 0]).reshape(-1, max(1, self.size))
+        self.cells = min(cells or max(1, int(len(points) ** 0.5)), max(1, len(points)))
+        rng = np.random.default_rng(seed)
+        centroids = points[rng.choice(len(points), self.cells, replace=False)] if len(points) else np.zeros((1, max(1, self.size)))
+        for _ in range(rounds if len(points) else 0):
+            of = (points @ centroids.T).argmax(axis=1)
+            sums = np.zeros_like(centroids)
+            np.add.at(sums, of, points)
+            norms = np.linalg.norm(sums, axis=1, keepdims=True)
+            centroids = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centroids)
+        self.centroids = centroids
+        self.probes = self._probes(points, recall)
+        self.assigned = stage(self._assign(known, 1), "vectors")
+
+    def _probes(self, points: np.ndarray, recall: float) -> int:
+        if len(points) < 2:
+            return 1
+        asked = points[:200]
+        products = asked @ points.T
+        products[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+        near = np.argsort(-products, axis=1)[:, : min(10, len(points) - 1)]
+        cell = (points @ self.centroids.T).argmax(axis=1)
+        order = np.argsort(np.argsort(-(asked @ self.centroids.T), axis=1, kind="stable"), axis=1)
+        place = np.take_along_axis(order, cell[near], axis=1)  # which of the query's cells, nearest first, has each neighbour
+        return int(np.quantile(place, recall, method="higher")) + 1
+
+    def _assign(self, rows: DataFrame, probes: int) -> DataFrame:
+        centroids, size = self.centroids, self.size
+
+        def near(frames):
+            for frame in frames:
+                out = []
+                for key, x in zip(frame["vec_id"], frame["embedding"]):
+                    if len(x) == size:
+                        out += [(key, x, int(c)) for c in np.argsort(-(centroids @ np.asarray(x)), kind="stable")[:probes]]
+                    else:
+                        out.append((key, x, -1))
+                yield pd.DataFrame(out, columns=["vec_id", "embedding", "cell"])
+
+        return rows.mapInPandas(near, f"vec_id {_id_type(rows)}, embedding array<double>, cell int")
+
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, block: int = 1024) -> DataFrame:
+        """query_id, vec_id, distance, rank: the nearest neighbours of every query among those in the ``probes`` cells nearest to it (by default as many as were measured).
+
+        Cells with more than ``block`` vectors are cut into blocks, so a cell with a third of all vectors is many tasks' work.
+        """
+        asked = stage(self._assign(queries.where(_USABLE).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), probes or self.probes), "asked")
+        sides = []
+        for name, df in (("v", self.assigned), ("q", asked)):
+            parts = F.broadcast(df.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("parts")))  # one row for each cell
+            rows = df.join(parts, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+            sides.append(_block_rows(rows, name, ["cell", "block"]).drop("block"))
+        return _nearest(sides[0].join(sides[1].hint("merge"), "cell"), k, _id_type(queries), self.id_type)
+
+
+def letter_vector(c: Column) -> Column:
+    """A stand-in for a model's vector: how often a text has each letter from a to z."""
+    low = F.lower(c)
+    return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda k: (F.length(low) - F.length(F.replace(low, F.char(k), F.lit("")))).cast("double"))

@@ -110,6 +110,27 @@ def temporal_prev(spark: SparkSession, d: str) -> DataFrame:
     return A.previous_editions(table(spark, d, "entities"))
 
 
+def temporal_next(spark: SparkSession, d: str) -> DataFrame:
+    return A.next_editions(table(spark, d, "entities"))
+
+
+def joined_summaries(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.joined_summaries(candidate_docs(spark, d), event_summary(spark, d))
+    return rows.select("qid", F.length("context").alias("n_chars"), F.sha2("context", 256).alias("hash"))
+
+
+def fuse(spark: SparkSession, d: str) -> DataFrame:
+    """The context of every asked question, by what is asked for."""
+    asked = _asked(spark, d)
+    rows = A.fuse(asked, A.joined_summaries(candidate_docs(spark, d), event_summary(spark, d)), A.gold_context(asked, _p(spark, d)))
+    return rows.select("qid", "intent", F.length("context").alias("n_chars"), F.sha2("context", 256).alias("hash"))
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """The answer to every question that counts and maxima give, with what is said for the others."""
+    return A.answered(_q(spark, d), agg_threshold(spark, d), superlative_routed(spark, d), _docs(spark, d))
+
+
 def model_usage(spark: SparkSession, d: str) -> DataFrame:
     """Answers, tokens, cost and latency of every model; an answer logged again counts once."""
     rows = documents.latest(table(spark, d, "predictions"), ["pred_id"], ["logged_at"])
@@ -117,7 +138,7 @@ def model_usage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = "router candidate_docs candidate_docs_v2 competitor_extract event_summary agg_threshold superlative superlative_routed gold_semijoin gold_context prompt_format doc_rollup answer_match answer_match_v2 answer_match_v3 eval_by_type temporal_prev model_usage"
+    names = "router candidate_docs candidate_docs_v2 competitor_extract event_summary agg_threshold superlative superlative_routed gold_semijoin gold_context prompt_format doc_rollup answer_match answer_match_v2 answer_match_v3 eval_by_type temporal_prev temporal_next joined_summaries fuse answers model_usage"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -181,8 +202,23 @@ def _match(version: int) -> str:
 _PREV = r"'^(.+) at the ([0-9]{4}) .* Games [–-] (.+)$'"
 
 
+_SUMMARIES = f"{_counts('p')}, f as (select distinct on (doc_id) doc_id, coalesce(title, '') as title, text from p order by doc_id, chunk_index, chunk_id), z as (select doc_id, 'Event: ' || title || case when competitors is not null then ' | Total Competitors: ' || competitors else ' | Details: ' || left({S.strip("replace(split_part(text, '.', 1), chr(10), ' ')")}, 150) end as summary from f left join n using (doc_id))"
+_JOINED = f"with {_Q}, {_A}, {_D}, {_P}, {_scored('a', _SCORE)}, {_SUMMARIES}, js as (select qid, left(array_to_string(list(summary order by rank), chr(10)), 6000) as context from c join z using (doc_id) group by all)"
+_ROUTED = f"case when qtype in ({S.quoted(A.TYPES)}) then upper(qtype) else {_INTENT} end"
+
+
 def oracle_sql() -> dict[str, str]:
+    found = _oracle_sql()
+    found["answers"] = f"""with {_Q}, {_D}, x1 as ({found['agg_threshold']}), x2 as ({found['superlative_routed']}), y as (select qid, {_ROUTED} as intent from q)
+      select y.qid, intent, coalesce(case when intent = 'AGGREGATION' then n_above::varchar when intent = 'SUPERLATIVE' then title end, 'Failed to generate answer') as answer from y left join x1 using (qid) left join (select x2.qid, d.title from x2 join d using (doc_id)) t using (qid)"""
+    return found
+
+
+def _oracle_sql() -> dict[str, str]:
     return {
+        "temporal_next": f"with n as (select {S.collapse('name')} as n from entities where name is not null), y as (select distinct regexp_extract(n, {_PREV}, 1) || ' / ' || regexp_extract(n, {_PREV}, 3) as series, nullif(regexp_extract(n, {_PREV}, 2), '')::int as year from n) select series, year, lead(year) over (partition by series order by year) as following from y where year is not null",
+        "joined_summaries": f"{_JOINED} select qid, len(context) as n_chars, sha256(context) as hash from js",
+        "fuse": f"{_JOINED}, {_context(8, 8000).replace('from q)', 'from a)')}, y as (select qid, {_ROUTED} as intent from a), w as (select y.qid, intent, left(coalesce(case when intent in ('AGGREGATION', 'SUPERLATIVE') then js.context else x.context end, ''), 12000) as context from y left join js using (qid) left join x using (qid)) select qid, intent, len(context) as n_chars, sha256(context) as hash from w",
         "router": f"with {_Q} select qid, case when qtype in ({S.quoted(A.TYPES)}) then upper(qtype) else {_INTENT} end as intent, {_INTENT} as routed, {_YEARS.format(c='question')}[1]::int as year, {_THRESHOLD} as threshold from q",
         "candidate_docs": f"with {_Q}, {_A}, {_D}, {_scored('a', _SCORE)} select * from c",
         "candidate_docs_v2": f"with {_Q}, {_A}, {_D}, {_scored('a', _SCORE_2)} select * from c",

@@ -12,6 +12,10 @@ from corpusloom.schemas import ENTITY_TYPES, RELATIONS
 from corpusloom.session import table
 
 
+#: How many mentions of a type go with a chunk to be extracted.
+CAPS = {"Athlete": 10, "Event": 5, "Country": 10}
+
+
 def _e(spark, d):
     return table(spark, d, "entities")
 
@@ -92,6 +96,14 @@ def llm_gate(spark: SparkSession, d: str) -> DataFrame:
     return G.worth_extracting(_e(spark, d))
 
 
+def entity_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return G.chunks_of_entities(_e(spark, d))
+
+
+def extraction_input(spark: SparkSession, d: str) -> DataFrame:
+    return G.capped_mentions(_e(spark, d), CAPS)
+
+
 def multi_hop(spark: SparkSession, d: str) -> DataFrame:
     return G.winners_by_country(_r(spark, d))
 
@@ -105,7 +117,7 @@ def region_of_largest_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = "slugify entity_dedup entity_merge entity_attributes relation_merge graph_vertices graph_edges graph_type_counts graph_contract_check graph_endpoint_check graph_verify edge_rewrite rule_part_of rule_at_venue rule_in_sport rule_participated llm_gate multi_hop region_of_largest_order"
+    names = "slugify entity_dedup entity_merge entity_attributes relation_merge graph_vertices graph_edges graph_type_counts graph_contract_check graph_endpoint_check graph_verify edge_rewrite rule_part_of rule_at_venue rule_in_sport rule_participated llm_gate entity_chunks extraction_input multi_hop region_of_largest_order"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -147,6 +159,8 @@ def oracle_sql() -> dict[str, str]:
         "rule_in_sport": f"with {_ENT} select distinct a.id as source, 'IN_SPORT' as relation, b.id as target from e a join e b using (chunk_id) where chunk_id <> '' and a.type = 'Event' and b.type = 'Sport' and contains(lower(a.name), lower(b.name))",
         "rule_participated": f"with {_ENT}, v as (select chunk_id, id, row_number() over (partition by chunk_id order by id) as n from (select distinct chunk_id, id from e where type = 'Event' and chunk_id <> '')) select distinct e.id as source, 'PARTICIPATED_IN' as relation, v.id as target from e join v using (chunk_id) where e.type = 'Athlete' and n <= 2",
         "llm_gate": f"with {_ENT} select chunk_id from e where chunk_id <> '' group by all having bool_or(coalesce(type = 'Athlete', false)) and (bool_or(coalesce(type = 'Event', false)) or bool_or(coalesce(type = 'Country', false)))",
+        "entity_chunks": f"with {_ENT} select type, lower(name) as key, chunk_id, min(extracted_at) as first_seen from e where name is not null and chunk_id <> '' group by all",
+        "extraction_input": f"with {_ENT}, g as (select chunk_id from e where chunk_id <> '' group by all having bool_or(coalesce(type = 'Athlete', false)) and (bool_or(coalesce(type = 'Event', false)) or bool_or(coalesce(type = 'Country', false)))), m as (select distinct chunk_id, type, id from e where chunk_id <> '' and type in ('Athlete', 'Event', 'Country')) select chunk_id, type, id from m where chunk_id in (select chunk_id from g) qualify row_number() over (partition by chunk_id, type order by id) <= case type when 'Event' then 5 else 10 end",
         "multi_hop": f"with {_REL}, w as (select distinct source as event, target as athlete, medal from r where relation = 'WON_BY' and source is not null and target is not null), p as (select distinct source as athlete, target as country from r where relation = 'REPRESENTS' and source is not null and target is not null) select country, medal, count(distinct event) as n_events, count(distinct athlete) as n_athletes from w join p using (athlete) group by all",
         "region_of_largest_order": "select n_name, r_name, o_orderkey, c_name, o_totalprice from (select c_nationkey, o_orderkey, c_name, o_totalprice from orders join customer on o_custkey = c_custkey qualify row_number() over (partition by c_nationkey order by o_totalprice desc, o_orderkey) = 1) join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
     }

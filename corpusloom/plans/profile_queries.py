@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking, documents, incremental, integrity
 from corpusloom.plans import sql as S
-from corpusloom.schemas import CHUNK_TYPES, SECTION_NAMES, WORDS_PER_PIECE
-from corpusloom.session import spread, table
+from corpusloom.schemas import CHUNK_TYPES, MOST_TOKENS, SECTION_NAMES, WORDS_PER_PIECE
+from corpusloom.session import new_folder, spread, table
 
 FIELDS = ["doc_id", "title", "text", "url", "wikidata_qid", "wikipedia_pageid", "approx_tokens"]
 
@@ -211,13 +213,88 @@ def hash_incremental(spark: SparkSession, d: str) -> DataFrame:
     return incremental.changes(rows.where("ingested_at < timestamp_ntz'2025-07-01 00:00:00'"), rows)
 
 
+def corpus_pieces(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    rows = chunking.with_pieces(chunking.with_sections(chunking.split_box(docs)))
+    return rows.select("doc_id", F.posexplode("pieces").alias("k", "p")).select("doc_id", "p.section", "p.type", T.approx_tokens("p.text").alias("tokens"), F.sha2("p.text", 256).alias("hash"))
+
+
+def chunk_prose(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of prose before small ones are merged."""
+    return corpus_pieces(spark, d).where("type = 'text'").drop("type")
+
+
+def chunk_table(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of tables before small ones are merged."""
+    return corpus_pieces(spark, d).where("type = 'table'").drop("type")
+
+
+def merge_small(spark: SparkSession, d: str) -> DataFrame:
+    """How many pieces each chunk has after small ones are merged, and their words."""
+    docs = _docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    rows = chunking.with_groups(chunking.with_pieces(chunking.with_sections(chunking.split_box(docs))))
+    return rows.select("doc_id", F.posexplode("groups").alias("chunk_index", "g")).select("doc_id", "chunk_index", (F.col("g.hi") - F.col("g.lo") + 1).alias("n_pieces"), F.col("g.words").alias("n_words"))
+
+
+def pack_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of every text packed to size."""
+    rows = _docs(spark, d).where("text is not null").select("doc_id", F.posexplode(T.pack(T.sentences("text"), MOST_TOKENS, " ")).alias("piece", "x"))
+    return rows.select("doc_id", "piece", T.approx_tokens("x").alias("tokens"), F.sha2("x", 256).alias("hash"))
+
+
+def content_order(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the chunks of each document have its words in its order (headings apart), how many, and whether its characters are kept."""
+    return integrity.ordered_content(*_corpus_chunks(spark, d))
+
+
+def smallest_docs(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d).where("text is not null").select("doc_id", "title", T.approx_tokens("text").alias("tokens"))
+    return rows.orderBy("tokens", "doc_id").limit(10)
+
+
+def largest_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _sized(spark, d).select("chunk_id", "tokens").groupBy("chunk_id").agg(F.max("tokens").alias("tokens")).orderBy(F.desc("tokens"), "chunk_id").limit(10)
+
+
+def char_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", T.char_tokens("text").alias("tokens"))
+
+
+def section_path_json(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").where("section_path is not null").select("chunk_id", F.to_json("section_path").alias("path")).distinct()
+
+
+def whole_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Page ids in mixed notations, as numbers where they are ones."""
+    return table(spark, d, "corpus_docs").select("doc_id", "wikipedia_pageid", T.whole_number("wikipedia_pageid").alias("page")).distinct()
+
+
+def sanitized(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "entities").where("name is not null").select("name").distinct().select("name", T.sanitize("name", 40).alias("plain"))
+
+
+def title_allowlist(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks whose title is that of a document that some question names."""
+    named = table(spark, d, "questions").select(F.explode("gold_doc_ids").alias("k")).distinct()
+    titles = table(spark, d, "corpus_docs").select(T.strip("doc_id").alias("k"), "title").join(named, "k", "left_semi").select("title").where("title is not null").distinct()
+    return table(spark, d, "chunks").select("chunk_id", "title").join(titles, "title", "left_semi").select("chunk_id", "title").distinct()
+
+
+def state_loads(spark: SparkSession, d: str) -> DataFrame:
+    """Three loads one after the other against a stored state: chunks that arrived by the end of June 2025, all of them, all of them again."""
+    rows, folder = table(spark, d, "chunks"), new_folder(spark, "loads")
+    early = rows.where("ingested_at < timestamp_ntz'2025-07-01 00:00:00'")
+    loads = [incremental.load(delivered, folder, k) for k, delivered in enumerate((early, rows, rows), 1)]
+    return functools.reduce(DataFrame.unionByName, [x.withColumn("load", F.lit(k)) for k, x in enumerate(loads, 1)])
+
+
 def events_latest(spark: SparkSession, d: str) -> DataFrame:
     return documents.latest(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "ts", "event_id", "event_type", "value")
 
 
 
 def queries() -> dict:
-    names = "approx_tokens profile_tokens profile_summary profile_missing profile_dups structure_audit profile_structure longest_docs content_hash ingest_corrupt record_validation normalize_lines heading_lines table_like paragraphs sentences pack_words chunks corpus_chunks infobox_split sections chunk_type_counts dataset_metadata chunk_validation chunk_page chunk_point chunk_size_buckets token_percentiles chunks_per_doc section_topk coverage_anti integrity_tokens integrity_lines integrity_chars loss_classes results_class first_diff upsert_latest hash_incremental events_latest"
+    names = "approx_tokens profile_tokens profile_summary profile_missing profile_dups structure_audit profile_structure longest_docs content_hash ingest_corrupt record_validation normalize_lines heading_lines table_like paragraphs sentences pack_words chunks corpus_chunks infobox_split sections chunk_type_counts dataset_metadata chunk_validation chunk_page chunk_point chunk_size_buckets token_percentiles chunks_per_doc section_topk coverage_anti integrity_tokens integrity_lines integrity_chars loss_classes results_class first_diff upsert_latest hash_incremental events_latest chunk_prose chunk_table merge_small pack_sentences content_order smallest_docs largest_chunks char_tokens section_path_json whole_numbers sanitized title_allowlist state_loads"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -290,6 +367,12 @@ select doc_id::varchar as doc_id, m - 1 as chunk_index, chunk_type, section, pat
 """.replace("{back}", "greatest(1, cast(floor(f.mwords * 1.3::double) as int))")
 
 
+_PARTS = _CHUNKS[: _CHUNKS.index("sized as (select *, ")].rstrip().rstrip(",")
+_MERGED = _CHUNKS[: _CHUNKS.rindex("select doc_id::varchar as doc_id, m - 1")]
+_STATES = """c as (select distinct on (chunk_id) chunk_id, text, ingested_at from chunks where chunk_id is not null order by chunk_id, ingested_at desc nulls last, sha256(text) desc nulls last),
+  p as (select distinct on (chunk_id) chunk_id, text from chunks where chunk_id is not null and ingested_at < timestamp '2025-07-01' order by chunk_id, ingested_at desc nulls last, sha256(text) desc nulls last)"""
+
+
 def oracle_sql() -> dict[str, str]:
     heading = _HEADING
     body_tokens = f"select doc_id::varchar as doc_id, sum({S.words('x')}) as n from (select doc_id, unnest({S.clean_lines('text')}) as x from documents) where not {heading} group by all"
@@ -312,6 +395,20 @@ def oracle_sql() -> dict[str, str]:
         "sentences": f"select doc_id, len(p) as n, coalesce(list_max(list_transform(p, lambda x: len(x))), 0) as longest from (select doc_id, list_filter(list_transform(string_split(regexp_replace({S.strip('text')}, '([.!?])[{S.BLANKS}]+([A-Z0-9\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {S.strip('x')}), lambda x: x <> '') as p from documents where text is not null)",
         "pack_words": f"select doc_id, piece, least({WORDS_PER_PIECE}, n - piece * {WORDS_PER_PIECE}) as n_words from (select doc_id, n, unnest(range(0, (n - 1) // {WORDS_PER_PIECE} + 1)) as piece from (select doc_id, {S.words('text')} as n from documents) where n > 0)",
         "chunks": _CHUNKS,
+        "corpus_chunks": _CHUNKS.replace("from documents where", f"from {_LIVE} where").replace("section, path, greatest", "section, [path] as section_path, greatest").replace("sha256(text) as hash", "text"),
+        "chunk_prose": f"{_PARTS} select doc_id::varchar as doc_id, section, {S.tokens('text')} as tokens, sha256(text) as hash from parts where type = 'text'",
+        "chunk_table": f"{_PARTS} select doc_id::varchar as doc_id, section, {S.tokens('text')} as tokens, sha256(text) as hash from parts where type = 'table'",
+        "merge_small": f"{_MERGED} select doc_id::varchar as doc_id, m - 1 as chunk_index, count(*) as n_pieces, max_by(mwords, k) as n_words from fold group by doc_id, m",
+        "pack_sentences": f"with recursive s as (select doc_id as id, list_filter(list_transform(string_split(regexp_replace({S.strip('text')}, '([.!?])[{S.BLANKS}]+([A-Z0-9\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {S.strip('x')}), lambda x: x <> '') as p from documents where text is not null), t as (select id, unnest(p) as x, unnest(range(1, len(p) + 1)) as i from s), z as (select id, i, {S.tokens('x')} as size from t), {_packed('packed', 'z')}, j as (select id, g, array_to_string(list(x order by i), ' ') as x from t join packed using (id, i) group by all) select id as doc_id, g as piece, {S.tokens('x')} as tokens, sha256(x) as hash from j",
+        "content_order": f"{_MERGED}, kept as (select doc_id, {S.collapse('x')} as b from (select doc_id, array_to_string(list(text order by m), ' ') as x from merged group by all)), original as (select doc_id, {S.collapse('x')} as a from (select doc_id, array_to_string(list_filter({S.clean_lines('text')}, lambda x: not {_HEADING}), ' ') as x from documents where text is not null)) select doc_id::varchar as doc_id, a = coalesce(b, '') as same_order, round({S.words('b')} / {S.words('a')}, 6) as token_ratio, round(len(replace(b, ' ', '')) / len(replace(a, ' ', '')), 6) as char_ratio, len(replace(b, ' ', '')) / len(replace(a, ' ', '')) >= 0.995 as lossless from original left join kept using (doc_id) where a <> ''",
+        "smallest_docs": f"select doc_id, title, {S.tokens('text')} as tokens from documents where text is not null order by tokens, doc_id limit 10",
+        "largest_chunks": f"select chunk_id, max(tokens) as tokens from {_SIZED} group by all order by tokens desc, chunk_id limit 10",
+        "char_tokens": "select doc_id, len(text) // 4 as tokens from documents",
+        "section_path_json": "select distinct chunk_id, to_json(section_path)::varchar as path from chunks where section_path is not null",
+        "whole_numbers": "select distinct doc_id, wikipedia_pageid, case when regexp_full_match(trim(wikipedia_pageid), '[+-]?[0-9]{1,18}') then trim(wikipedia_pageid)::bigint end as page from corpus_docs",
+        "sanitized": "select distinct name, trim(left(regexp_replace(regexp_replace(strip_accents(replace(name, chr(160), ' ')), '[^\\x00-\\x7f]+', '', 'g'), '[ \\t]+', ' ', 'g'), 40)) as plain from entities where name is not null",
+        "title_allowlist": f"select distinct chunk_id, title from chunks where title in (select title from corpus_docs where {S.strip('doc_id')} in (select unnest(gold_doc_ids) from questions) and title is not null)",
+        "state_loads": f"with {_STATES} select 1 as load, 'new' as change, count(*) as n from p group by all union all select 2, case when p.chunk_id is null then 'new' when p.text is distinct from c.text then 'changed' else 'same' end, count(*) from c left join p using (chunk_id) group by all union all select 3, 'same', count(*) from c group by all",
         "chunk_type_counts": f"select chunk_type, count(*) as n, sum(approx_tokens)::bigint as tokens from ({_CHUNKS}) group by all",
         "dataset_metadata": f"select count(distinct doc_id) as n_documents, count(*) as n_chunks, sum(approx_tokens)::bigint as tokens, {', '.join(f"count(*) filter (where chunk_type = '{k}') as n_{k}" for k in CHUNK_TYPES)} from ({_CHUNKS})",
         "infobox_split": f"{_BOX} select doc_id, len(box) as box_lines, len(body) as body_lines from b",

@@ -71,6 +71,7 @@ def oracle_sql() -> dict[str, str]:
         "jsonl_roundtrip": "select doc_id, title, wikipedia_pageid, approx_tokens::varchar as approx_tokens, sha256(text) as hash from corpus_docs",
         "streaming_ingest": "select user_id, ts, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events where user_id is not null) where n = 1",
         "streaming_chunks": "select distinct on (chunk_id) chunk_id, doc_id, ingested_at, sha256(text) as hash from chunks where chunk_id is not null order by chunk_id, ingested_at desc, doc_id desc, title desc, wikidata_qid desc, wikipedia_pageid desc",
+        "windowed_events": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(distinct event_id) as n from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 2 day from events) group by all",
         "daily_events": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(distinct event_id) as n from events group by all",
         "live_corpus": f"select doc_id, title, loaded_at from (select distinct on (doc_id) * from corpus_docs where doc_id is not null order by doc_id, loaded_at desc, title desc, text desc) where deleted_at is null and {S.strip('doc_id')} = {S.strip('doc_id')}",
     }

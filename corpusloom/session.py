@@ -54,6 +54,11 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Remove all that this application has staged. Results that are not written yet read their stages: only afterwards."""
     path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
