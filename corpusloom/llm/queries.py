@@ -18,6 +18,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).select("chunk_id").distinct()
 
 
+def p1_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each split text: its pieces, its words, and how many pieces are over the limit, leave words out or share fewer words than they should with the piece before."""
+    pieces = p1_pieces(spark, sf_dir)
+    kind = F.lower(F.trim("chunk_type"))
+    limits = table(spark, sf_dir, "split_limits").select(F.lower(F.trim("chunk_type")).alias("kind"), F.col("overlap_tokens").alias("overlap"))
+    rows = pieces.join(F.broadcast(limits), kind == F.col("kind"), "left").withColumn("n_words", F.regexp_count("piece", F.lit(r"(?U)[^\s\x1c-\x1f]+")))
+    window = "over (partition by chunk_id, n_pieces, max_tokens order by piece_index)"
+    rows = rows.selectExpr("*", f"lag(end_word) {window} as before")
+    over = F.count_if((F.floor(F.col("n_words") * 13 / 10) > F.col("max_tokens")) | (F.col("n_words") != F.col("end_word") - F.col("start_word")))
+    gaps = F.count_if(F.col("start_word") > F.coalesce("before", F.lit(0)))
+    short = F.count_if(F.col("before").isNotNull() & (F.floor((F.col("before") - F.col("start_word")) * 13 / 10) < F.col("overlap")))
+    return rows.groupBy("chunk_id").agg(F.max("end_word").alias("n_words"), over.alias("over"), gaps.alias("gaps"), short.alias("short_overlaps"))
+
+
 def p2_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every defect that an answer shows."""
     profiles = language.learn(table(spark, sf_dir, "documents"), language.label_names(table(spark, sf_dir, "languages")))
@@ -104,6 +118,11 @@ select distinct c.chunk_id from chunks c join split_limits l on lower(trim(c.chu
 where floor(len(regexp_extract_all(c.text, '[^\s\v\x1c-\x1f\x{85}\p{Z}]+')) * 13 / 10) > l.max_tokens
 """
 
+_P1_COVERED = r"""
+select chunk_id, max(n) as n_words, 0 as "over", 0 as gaps, 0 as short_overlaps from (select c.chunk_id, len(regexp_extract_all(c.text, '[^\s\v\x1c-\x1f\x{85}\p{Z}]+')) as n, l.max_tokens as most
+  from chunks c join split_limits l on lower(trim(c.chunk_type)) = l.chunk_type) where floor(n * 13 / 10) > most group by chunk_id
+"""
+
 _P5_FOUND = r"""
 with w as (
   select distinct chunk_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from chunks where text is not null
@@ -130,12 +149,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_defects, p3_found, p3_entities, p5_found, p5_groups, p6_ids, p6_roundtrip, p7_mixture, p7_shares, p7_full_mixture, p7_full_shares, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_covered, p2_found, p2_defects, p3_found, p3_entities, p5_found, p5_groups, p6_ids, p6_roundtrip, p7_mixture, p7_shares, p7_full_mixture, p7_full_shares, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1_FOUND,
+        "p1_covered": _P1_COVERED,
         "p5_found": _P5_FOUND,
         "p6_roundtrip": "select doc_id, coalesce(text, '') as text from documents",
     }

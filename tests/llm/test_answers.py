@@ -54,3 +54,16 @@ def test_spark(spark):
     got = {r.pred_id: r.defect for r in A.first_defect(defects).collect()}
     assert got == {100: "empty", 101: "copies_question", 102: "refusal", 103: "truncated", 106: "empty", None: "empty", 107: "truncated"}
     assert A.find_defects(df.limit(0), Profiles({})).count() == 0
+
+
+def test_verdicts_do_not_depend_on_copies(spark):
+    """Every answer under eight ids, and one of them under a third of all: each has the same defects as before."""
+    ends = ["who finished in 3.5 seconds", "who finished in", "who finished in 3.5 seconds.", "ahead of the", "ahead of Eva Holt.", "ahead of Eva Holt"]
+    rows = [(k, Q, f"The medal went to Ann Berg of Norvask, {e}") for k, e in enumerate(ends)]
+    many = [(100 * j + k, q, a) for j in range(8) for k, q, a in rows] + [(10_000 + j, *rows[1][1:]) for j in range(24)]
+    found = []
+    for data in (rows, many):
+        df = spark.createDataFrame(data, "pred_id long, question string, predicted_answer string")
+        text = {k: a for k, _, a in data}
+        found.append({(text[r.pred_id], r.defect) for r in A.find_defects(df, Profiles({})).collect()})
+    assert found[0] == found[1] == {(rows[1][2], "truncated"), (rows[3][2], "truncated")}
