@@ -26,9 +26,9 @@ from corpusloom.llm.golay import LENGTH, near_codewords
 from corpusloom.session import stage
 
 #: Segments whose keys carry a telling word, and how many of them give keys with common words as well.
-SEGMENTS, COMMON_SEGMENTS = 8, 7
+SEGMENTS, COMMON_SEGMENTS = 8, 8
 #: A word in more than this part of all different texts (and in more than one, for only then it can be shared) is common and tells little. No table has more such words than a text has on average, over this part.
-COMMON = 0.001
+COMMON = 0.003
 #: A key of common words carries those of so many segments, its own and the next.
 TOGETHER = 3
 #: Of the further bits of two texts so many may differ. Of texts whose words are 0.85 alike 10 do on average, and more than 28 once in a million.
@@ -127,12 +127,13 @@ def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, shingle:
     rows = df.select(F.col(key).alias("key"), once(word_hashes(F.col(text))).alias("words"))
     rows = rows.where(F.size("words") >= max(shingle, least_words or 0, 1))
 
-    rows = rows.select("key", F.xxhash64("words").alias("class"), F.array_distinct(F.transform("words", lambda h: F.shiftright(h, 32).cast("int"))).alias("words"))
+    # a class keeps its words in order, half a hash each: all that is asked of the texts later
+    rows = rows.select("key", F.xxhash64("words").alias("class"), F.transform("words", lambda h: F.shiftright(h, 32).cast("int")).alias("words"))
     members = stage(rows.select("key", "class").distinct(), "members")
     classes = stage(rows.groupBy("class").agg(F.first("words").alias("words")), "classes")
 
     # the words that more than a given part of all classes have; copies and rows delivered again count once
-    counted = classes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = classes.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     total = classes.count()
     frequent = counted.where(F.col("n") > F.lit(max(total * COMMON, 1.0))).toPandas()
     frequent = pd.Series(frequent["n"].to_numpy(dtype=float) / max(total, 1), frequent["word"].to_numpy(dtype=np.int32).view(np.uint32)).sort_index()
@@ -153,7 +154,7 @@ def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, shingle:
             keys, texts, sketches = all_keys(words, owners, offsets[:-1], parts, segments)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(batch.column(0).to_numpy()[texts]), pa.array(sketches[texts, 0]), pa.array(sketches[texts, 1])], names=["key", "class", "one", "two"])
 
-    keys = classes.select("class", "words").mapInArrow(find_keys, "key bigint, class bigint, one bigint, two bigint")
+    keys = classes.select("class", F.array_distinct("words").alias("words")).mapInArrow(find_keys, "key bigint, class bigint, one bigint, two bigint")
 
     # what is under the keys is as many rows as there are classes, the keys are many times more: never broadcast
     a, b = (keys.select("key", F.col("class").alias(x), F.col("one").alias(f"{x}1"), F.col("two").alias(f"{x}2")) for x in "ab")
@@ -161,13 +162,10 @@ def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, shingle:
     met = a.hint("merge").join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & (apart <= MOST_APART))
     candidates = stage(met.select("a", "b").distinct(), "candidates")
 
-    # one text of each class that met another, as a set of shingles: only these are split into words again
+    # the shingles of each class that met another, as sets
     met = candidates.selectExpr("explode(array(a, b)) as class").distinct()
-    one = members.join(met, "class", "left_semi").groupBy("class").agg(F.min("key").alias("one")).alias("o")
-    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).alias("t").join(one, F.col("t.key").eqNullSafe(F.col("o.one"))).select("class", once(word_hashes(F.col("text"))).alias("words"))
-    texts = texts.where(F.xxhash64("words") == F.col("class")).groupBy("class").agg(F.first("words").alias("words"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - (shingle - 1)), lambda k: F.xxhash64(F.slice("words", k, shingle))))
-    texts = texts.select("class", grams.alias("grams"))
+    texts = stage(classes.join(met, "class", "left_semi").select("class", grams.alias("grams")), "shingles")
     pairs = candidates.join(texts.select(F.col("class").alias("a"), F.col("grams").alias("ga")), "a").join(texts.select(F.col("class").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     pairs = pairs.select("a", "b", (shared / (F.size("ga") + F.size("gb") - shared)).alias("similarity")).where(F.col("similarity") >= least)
