@@ -63,7 +63,8 @@ def _bag_difference(original: DataFrame, kept: DataFrame, item: str) -> DataFram
 def _word_bag(c: Column | str) -> Column:
     """Of a text its number of words and two sums of hashes of them, which are the same for the same bag of words."""
     words = T.words(c)
-    total = lambda seed: F.aggregate(words, F.lit(0).cast("decimal(38,0)"), lambda s, w: (s + F.xxhash64(w, F.lit(seed)).cast("decimal(20,0)")).cast("decimal(38,0)"))
+    # 40 bits of each hash: the sums of millions of words fit into a long; beyond that they are null, which is never the same
+    total = lambda seed: F.aggregate(words, F.lit(0).cast("long"), lambda s, w: F.try_add(s, F.shiftrightunsigned(F.xxhash64(w, F.lit(seed)), 24)))
     return F.struct(F.size(words).alias("n"), total(1).alias("one"), total(2).alias("two"))
 
 
@@ -73,7 +74,7 @@ def token_differences(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     Rows are summed up first, a few numbers each; the words themselves are only shuffled of documents whose sums differ.
     """
     bags = body_lines(docs).select("doc_id", _word_bag("line").alias("w"), F.lit(1).alias("side")).unionByName(chunks.select("doc_id", _word_bag("text").alias("w"), F.lit(-1).alias("side")))
-    signed = lambda x: F.sum(F.col(f"w.{x}") * F.col("side"))
+    signed = lambda x: F.when(F.count_if(F.col(f"w.{x}").isNull()) == 0, F.try_sum(F.col(f"w.{x}") * F.col("side")))
     side = lambda k: F.sum(F.when(F.col("side") == k, F.col("w.n")).otherwise(0))
     sums = stage(bags.groupBy("doc_id").agg(side(1).alias("n_original"), side(-1).alias("n_chunks"), (F.coalesce(signed("one") == 0, F.lit(False)) & F.coalesce(signed("two") == 0, F.lit(False))).alias("same")), "bags")
     same = sums.where("same and n_original + n_chunks > 0").select("doc_id", "n_original", "n_chunks", F.lit(0).cast("long").alias("n_differing"))
