@@ -142,6 +142,30 @@ def candidates_by_text(questions: DataFrame, docs: DataFrame, most: int = 15) ->
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def first_texts(docs: DataFrame, passages: DataFrame, most: int = 2) -> DataFrame:
+    """doc_id, title and text of the documents that have passages, the text being their first ``most`` ones. Documents are cut to them before anything is collected."""
+    kept = passages.select("doc_id", "chunk_index", "chunk_id", "text").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index", "chunk_id"))).where(F.col("n") <= most)
+    texts = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("l"))
+    return docs.select("doc_id", "title").join(texts.select("doc_id", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text")), "doc_id")
+
+
+def candidates_by_passages(questions: DataFrame, passages: DataFrame, most: int = 15) -> DataFrame:
+    """qid, doc_id, score, rank: for questions whose terms no title has. Over a document's passages, one for each of the question's terms in the passage, and three if it has one of its years.
+
+    Terms and years are parts of words, so passages meet questions by their words, not each by each. Passages of no document count for none.
+    """
+    asked = _asked(questions).select("qid", "terms", "years")
+    probes = asked.select("qid", F.explode("terms").alias("term"), F.lit(False).alias("is_year")).unionByName(asked.select("qid", F.explode("years").alias("term"), F.lit(True).alias("is_year")))
+    probes = probes.groupBy("qid", "term", "is_year").agg(F.count("*").alias("times"))
+    words = passages.where("doc_id is not null").select("chunk_id", "doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("word")).where(F.length("word") > 2)
+    holding = _holding(words.select("word").distinct(), probes.select("term").distinct())
+    shared = words.join(holding, "word").select("chunk_id", "doc_id", "term").distinct().join(probes, "term")
+    per = shared.groupBy("qid", "doc_id", "chunk_id").agg((F.sum(F.when(~F.col("is_year"), F.col("times")).otherwise(0)) + F.when(F.max("is_year"), 3).otherwise(0)).alias("s"))
+    scored = per.groupBy("qid", "doc_id").agg(F.sum("s").alias("score")).where("score > 0")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
 def competitors(passages: DataFrame) -> DataFrame:
     """doc_id and the largest number from 1 to 500 that its passages give of competitors; numbers of more digits count by their first three or last three."""
     numbers = F.concat(F.regexp_extract_all("text", F.lit(COUNT_AFTER), 1), F.regexp_extract_all("text", F.lit(COUNT_BEFORE), 1))

@@ -42,6 +42,17 @@ def candidate_docs_v2(spark: SparkSession, d: str) -> DataFrame:
     return A.candidates_by_text(_asked(spark, d), _docs(spark, d))
 
 
+def candidate_docs_passages(spark: SparkSession, d: str) -> DataFrame:
+    """As candidate_docs_v2, over the first two passages of each document instead of its whole text."""
+    return A.candidates_by_text(_asked(spark, d), A.first_texts(_docs(spark, d), _p(spark, d)))
+
+
+def candidate_docs_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by their passages for the asked questions that candidate_docs finds none for."""
+    questions = _asked(spark, d)
+    return A.candidates_by_passages(questions.join(candidate_docs(spark, d).select("qid"), "qid", "left_anti"), _p(spark, d))
+
+
 def competitor_extract(spark: SparkSession, d: str) -> DataFrame:
     return A.competitors(_p(spark, d))
 
@@ -138,7 +149,7 @@ def model_usage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = "router candidate_docs candidate_docs_v2 competitor_extract event_summary agg_threshold superlative superlative_routed gold_semijoin gold_context prompt_format doc_rollup answer_match answer_match_v2 answer_match_v3 eval_by_type temporal_prev temporal_next joined_summaries fuse answers model_usage"
+    names = "router candidate_docs candidate_docs_v2 candidate_docs_passages candidate_docs_fallback competitor_extract event_summary agg_threshold superlative superlative_routed gold_semijoin gold_context prompt_format doc_rollup answer_match answer_match_v2 answer_match_v3 eval_by_type temporal_prev temporal_next joined_summaries fuse answers model_usage"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -222,6 +233,8 @@ def _oracle_sql() -> dict[str, str]:
         "router": f"with {_Q} select qid, case when qtype in ({S.quoted(A.TYPES)}) then upper(qtype) else {_INTENT} end as intent, {_INTENT} as routed, {_YEARS.format(c='question')}[1]::int as year, {_THRESHOLD} as threshold from q",
         "candidate_docs": f"with {_Q}, {_A}, {_D}, {_scored('a', _SCORE)} select * from c",
         "candidate_docs_v2": f"with {_Q}, {_A}, {_D}, {_scored('a', _SCORE_2)} select * from c",
+        "candidate_docs_passages": f"with {_Q}, {_A}, {_D}, {_P}, k2 as (select *, row_number() over (partition by doc_id order by chunk_index, chunk_id) as nn from p qualify nn <= 2), dd as (select d.doc_id, d.title, array_to_string(list(k2.text order by nn), chr(10)) as text from d join k2 using (doc_id) group by d.doc_id, d.title), {_scored('a', _SCORE_2).replace('from d where', 'from dd where')} select * from c",
+        "candidate_docs_fallback": f"with {_Q}, {_A}, {_D}, {_P}, {_scored('a', _SCORE)}, g as (select qid, doc_id, sum(len(list_filter(terms, lambda w: contains(x, w))) + case when len(list_filter(ys, lambda y: contains(x, y))) > 0 then 3 else 0 end)::bigint as score from t, (select doc_id, lower(text) as x from p where doc_id is not null) where qid not in (select qid from c) group by all) select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id) as rank from g where score > 0 qualify rank <= 15",
         "competitor_extract": f"with {_P}, {_counts('p')} select * from n",
         "event_summary": f"with {_P}, {_counts('p')}, f as (select distinct on (doc_id) doc_id, coalesce(title, '') as title, text from p order by doc_id, chunk_index, chunk_id) select doc_id, 'Event: ' || title || case when competitors is not null then ' | Total Competitors: ' || competitors else ' | Details: ' || left({S.strip("replace(split_part(text, '.', 1), chr(10), ' ')")}, 150) end as summary from f left join n using (doc_id)",
         "agg_threshold": f"with {_Q}, b as (select *, {_THRESHOLD} as threshold from q where {_THRESHOLD} is not null), {_D}, {_scored('b', _SCORE)}, {_counts('d')} select qid, threshold, count(*) filter (where competitors > threshold) as n_above, count(*) as n_known from b join c using (qid) join n using (doc_id) group by all",

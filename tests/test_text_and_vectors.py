@@ -41,6 +41,15 @@ def test_candidates_of_questions_without_a_year(spark):
     assert got and got == brute(questions.collect(), docs.collect())
 
 
+def test_passages_of_questions_without_a_title(spark):
+    passages = spark.createDataFrame([("c1", "a", 0, "The foils of 1988 and foil"), ("c2", "a", 1, "foil"), ("c3", "b", 0, "unfoiled 1988"), ("c4", None, 0, "foil"), ("c5", "d", 0, None), ("c6", "e", 0, "")], "chunk_id string, doc_id string, chunk_index int, text string")
+    questions = spark.createDataFrame([("q1", "Foil foil in 1988?", None, [], []), ("q2", "xyz", None, [], []), ("q3", None, None, [], [])], "qid string, question string, qtype string, answer array<string>, gold_doc_ids array<string>")
+    got = {(r.qid, r.doc_id): (r.score, r.rank) for r in answering.candidates_by_passages(questions, passages).collect()}
+    assert got == {("q1", "a"): (2 + 1 + 3 + 2, 1), ("q1", "b"): (2 + 1 + 3, 2)}
+    docs = spark.createDataFrame([("a", "A"), ("b", None), ("z", "Z")], "doc_id string, title string")
+    assert {(r.doc_id, r.text) for r in answering.first_texts(docs, passages).collect()} == {("a", "The foils of 1988 and foil\nfoil"), ("b", "unfoiled 1988")}
+
+
 def brute(questions, docs):
     import re
 
