@@ -35,8 +35,10 @@ TOGETHER = 3
 SKETCH, MOST_APART = 128, 28
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-#: Rows of one class that one task pairs with others; larger classes are spread over more tasks.
+#: Rows of one class or key that one task pairs with others; larger ones are spread over more tasks.
 TASK_ROWS = 4096
+#: One class in so many is asked which keys are large. That only decides how keys are dealt out to tasks, never what meets.
+ASKED = 64
 
 
 def word_hashes(text: Column) -> Column:
@@ -114,7 +116,17 @@ def all_keys(words: np.ndarray, owners: np.ndarray, starts: np.ndarray, parts: n
     return np.concatenate(keys), np.concatenate(whose), sketches
 
 
-def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, shingle: int = 5, least_words: int | None = None, segments: int = SEGMENTS) -> tuple[DataFrame, DataFrame]:
+def _dealt(keys: DataFrame, large: DataFrame) -> DataFrame:
+    """The keys with each ``large`` one (``key``, ``parts``) cut into cells: its texts are in so many parts, and every two parts have a cell of their own.
+
+    All texts of a key still meet, those of two parts in the parts' cell. Other keys stay as they are.
+    """
+    part = F.pmod(F.xxhash64("class"), F.col("parts"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.xxhash64("key", F.least(part, k), F.greatest(part, k)))
+    return keys.join(large, "key", "left").withColumn("key", F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(cells)))
+
+
+def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, shingle: int = 5, least_words: int | None = None, segments: int = SEGMENTS, task_rows: int = TASK_ROWS, asked: int = ASKED) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs of classes (``a`` < ``b``, ``similarity``) and the class of every ``key``.
 
     A class holds all keys whose texts are the same run of words; its id is a hash of them, and one copy of each
@@ -154,7 +166,13 @@ def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, shingle:
             keys, texts, sketches = all_keys(words, owners, offsets[:-1], parts, segments)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(batch.column(0).to_numpy()[texts]), pa.array(sketches[texts, 0]), pa.array(sketches[texts, 1])], names=["key", "class", "one", "two"])
 
-    keys = classes.select("class", F.array_distinct("words").alias("words")).mapInArrow(find_keys, "key bigint, class bigint, one bigint, two bigint")
+    def keys_in(rows):
+        return rows.select("class", F.array_distinct("words").alias("words")).mapInArrow(find_keys, "key bigint, class bigint, one bigint, two bigint")
+
+    # a key of many texts is cut into cells, the same for both sides of the join
+    some = keys_in(classes.where(F.pmod(F.xxhash64("class"), F.lit(asked)) == 0)).groupBy("key").agg(F.count("*").alias("n"))
+    large = stage(some.where(F.col("n") * asked > task_rows).select("key", F.ceil(F.col("n") * asked / task_rows).alias("parts")), "large")
+    keys = _dealt(keys_in(classes), large).select("key", "class", "one", "two")
 
     # what is under the keys is as many rows as there are classes, the keys are many times more: never broadcast
     a, b = (keys.select("key", F.col("class").alias(x), F.col("one").alias(f"{x}1"), F.col("two").alias(f"{x}2")) for x in "ab")

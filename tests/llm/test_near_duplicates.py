@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from corpusloom.llm import golay
-from corpusloom.llm.near_duplicates import near_pairs, pairs_of_keys
+from corpusloom.llm.near_duplicates import _dealt, near_pairs, pairs_of_keys
 
 
 def test_code_is_perfect():
@@ -102,3 +102,14 @@ def test_family_of_a_third_of_the_rows(spark):
     want = brute(rows, 0.6, 3, 40)
     assert len(want) > 20_000
     assert got <= want and len(got) >= 0.99 * len(want)
+    # the same pairs when the family's keys are dealt out to many tasks
+    assert got == {tuple(r) for r in pairs_of_keys(*near_pairs(df, "id", "t", 0.6, 3, 40, task_rows=16, asked=1)).collect()}
+
+
+def test_cells_of_large_keys(spark):
+    keys = spark.createDataFrame([(1, k) for k in range(50)] + [(2, k) for k in range(5)], "key bigint, class bigint")
+    dealt = _dealt(keys, spark.createDataFrame([(1, 7)], "key bigint, parts bigint")).select("key", "class")
+    pairs = dealt.alias("a").join(dealt.alias("b"), "key").where("a.class < b.class").select("a.class", "b.class").distinct()
+    assert pairs.count() == 50 * 49 // 2
+    assert dealt.groupBy("key").count().agg({"count": "max"}).first()[0] < 50
+    assert dealt.where("key = 2").count() == 5
