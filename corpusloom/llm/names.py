@@ -28,6 +28,8 @@ KNOWN, LEAST = 0.001, 3
 KNOWN_PLACE_WORD = 0.005
 #: Ids of one entity that one task pairs with the others.
 TASK_ROWS = 4096
+#: A block of more profiles than this is not compared in all its pairs but by given names.
+BLOCK_ROWS = 256
 #: Titles, particles of surnames, words of place names that say nothing.
 TITLES = frozenset("dr prof mr mrs ms miss sir dame lord lady rev hon capt col maj lt sgt gen herr frau mme mlle don dona sr jr dipl ing st".split())
 PARTICLES = frozenset("de da di do dos du del della der den van von ten ter la le el al bin ibn zu zum zur af av".split())
@@ -195,6 +197,27 @@ def _same_given(a: str, b: str, known: frozenset[str]) -> int:
     return 2 if len(short) >= 3 and full.startswith(short) and short not in known else 0
 
 
+def given_keys(spellings: list[str]) -> set[tuple[str, int, int]]:
+    """Keys of the given names of a person's profile, with the side that it takes and the side that it looks for.
+
+    Whatever ``_same_given`` holds for the same name in some way meets: the same names, forms and names with one
+    letter mistyped on side 0, initials (1) with names that may stand behind them (2), shortened names (1) with
+    longer ones (2).
+    """
+    keys: set[tuple[str, int, int]] = set()
+    for g in {s.split("|")[1] for s in spellings} - {""}:
+        keys |= {(f"={f}", 0, 0) for f in {g} | _FORMS.get(g, set())}
+        if len(g) == 1:
+            keys.add((f"i{g}", 1, 2))
+            continue
+        keys |= {(f"i{f[0]}", 2, 1) for f in {g} | _FORMS.get(g, set())}
+        if len(g) > 2:
+            keys |= {(f"-{d}", 0, 0) for d in {g} | {g[:k] + g[k + 1 :] for k in range(len(g))}}
+            keys.add((f"<{g}", 1, 2))
+            keys |= {(f"<{g[:k]}", 2, 1) for k in range(3, len(g))}
+    return keys
+
+
 def _same_surname(a: str, b: str) -> int:
     """2: the same, or one of a double one; 1: mistyped; 0: another."""
     if a.replace("+", "") == b.replace("+", ""):
@@ -292,7 +315,39 @@ def _well_known(words: DataFrame, part: float) -> frozenset[str]:
     return frozenset(r.word for r in words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= max(LEAST, part * names)).select("word").collect())
 
 
-def resolve(entities: DataFrame, kinds: dict[str, str], most_rounds: int | None = None) -> DataFrame:
+def _met(new: DataFrame, known: DataFrame, profiles: DataFrame, block_rows: int) -> DataFrame:
+    """Pairs (``a`` < ``b``) of profiles that may match: one of ``new`` and one of ``known`` (``key``, ``profile``) under the same key.
+
+    A key of more than ``block_rows`` profiles meets by key and given name together, so that a surname that
+    many people have makes no more pairs than there are people of like given names.
+    """
+    large = stage(known.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).select("key"), "large")
+
+    def given(frames):
+        for frame in frames:
+            out = []
+            for k, p, s in zip(frame["key"], frame["profile"], frame["spellings"]):
+                out += [(k, p, *g) for g in (given_keys(list(s)) if s[0][0] == "p" else {("", 0, 0)})]
+            yield pd.DataFrame(out, columns=["key", "profile", "given", "side", "other"])
+
+    def refined(keys):
+        rows = keys.join(large, "key", "left_semi").join(profiles.select("profile", "spellings"), "profile")
+        return rows.select("key", "profile", "spellings").mapInPandas(given, "key bigint, profile string, given string, side int, other int")
+
+    def pairs(left, right, on):
+        # a profile has many keys: what is small under them is no small side of a join
+        met = left.withColumnRenamed("profile", "x").hint("merge").join(right.withColumnRenamed("profile", "y").hint("merge"), on).where("x <> y")
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    if large.isEmpty():
+        return pairs(new, known, "key").distinct()
+    few = pairs(new.join(large, "key", "left_anti"), known.join(large, "key", "left_anti"), "key")
+    left = refined(new).select(F.xxhash64("key", "given", "side").alias("key"), "profile")
+    right = refined(known).select(F.xxhash64("key", "given", "other").alias("key"), "profile")
+    return few.unionByName(pairs(left, right, "key")).distinct()
+
+
+def resolve(entities: DataFrame, kinds: dict[str, str], most_rounds: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``id`` and ``entity`` (a number for each person or place) of all ids whose type is in ``kinds`` (type: ``p`` person, ``v`` place).
 
     Rows of all times count, withdrawn ones too. Types are compared stripped and in lower case; an id without
@@ -346,8 +401,7 @@ def resolve(entities: DataFrame, kinds: dict[str, str], most_rounds: int | None
         new = profiles if changed is None else profiles.join(changed, "profile", "left_semi")
         new_keys = stage(new.select("profile", "spellings").mapInPandas(keys, "key string, profile string").select(F.xxhash64("key").alias("key"), "profile"), "keys")
         all_keys = new_keys if changed is None else stage(known_keys.join(touched, "profile", "left_anti").unionByName(new_keys), "keys")
-        # a profile has many keys: what is small under them is no small side of a join
-        pairs = new_keys.withColumnRenamed("profile", "x").hint("merge").join(all_keys.withColumnRenamed("profile", "y").hint("merge"), "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = _met(new_keys, all_keys, profiles, block_rows)
         left, right = (profiles.select(F.col("profile").alias(x), F.col("spellings").alias(f"s{x}"), F.col("attrs").alias(f"t{x}")) for x in "ab")
 
         def match(frames):

@@ -1,6 +1,9 @@
 import datetime as dt
+import itertools
 
 import pytest
+from hypothesis import example, given
+from hypothesis import strategies as st
 
 from corpusloom.llm import names
 
@@ -50,6 +53,35 @@ def test_resolution(spark):
         for k, g in enumerate(groups):
             want |= {(f"{kind}-{k}-{i}", f"{kind}-{k}-{j}") for j in range(len(g)) for i in range(j)}
     assert got == {(min(p), max(p)) for p in want}
+    # blocks are compared by given names as well, to the same result
+    assert got == {(r.id_a, r.id_b) for r in names.id_pairs(names.resolve(df, {"athlete": "p", "venue": "v"}, block_rows=1)).collect()}
+
+
+@given(st.text("abj", max_size=5), st.text("abj", max_size=5))
+@example("peter", "pete")
+@example("alexander", "s")
+@example("xander", "sasha")
+@example("quentin", "quen")
+def test_like_given_names_meet(a, b):
+    if names._same_given(a, b, KNOWN):
+        assert {(k, side) for k, side, _ in names.given_keys([f"p|{a}||x"])} & {(k, other) for k, _, other in names.given_keys([f"p|{b}||x"])}
+
+
+def test_all_given_names_meet():
+    words = sorted(KNOWN | set(names._FORMS) | set("abcdefgh"))
+    found = {w: names.given_keys([f"p|{w}||x"]) for w in words}
+    for a in words:
+        for b in words:
+            if names._same_given(a, b, KNOWN):
+                assert {(k, s) for k, s, _ in found[a]} & {(k, o) for k, _, o in found[b]}, (a, b)
+
+
+def test_surname_of_a_third_of_all(spark):
+    givens = ["".join(w) for w in itertools.product("bdg", "aeo", "lmn", "aio", "rst")]
+    rows = [(f"ath-{k}-{j}", f"{g.title()}{x} Wesungbotin", "Athlete", None) for k, g in enumerate(givens) for j, x in enumerate(("", "k"))]
+    df = spark.createDataFrame(rows, "id string, name string, type string, attributes map<string,string>")
+    results = [{(r.id_a, r.id_b) for r in names.id_pairs(names.resolve(df, {"athlete": "p"}, block_rows=n)).collect()} for n in (10, 10**6)]
+    assert results[0] == results[1]
 
 
 def test_empty(spark):
