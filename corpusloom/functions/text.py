@@ -11,6 +11,8 @@ from pyspark.sql.types import StringType
 
 #: Fixed value: what separates words, as Unicode sees white space (no-break and other spaces included).
 BLANK = r"[\s\x1c-\x1f]"
+#: The same characters one by one.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Fixed value: line ends, ``\r\n`` being one.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 TOKENS_PER_WORD = 1.3
@@ -32,7 +34,12 @@ def once(expression: Column) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(_col(c), rf"(?U)^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(_col(c), F.lit(BLANKS))
+
+
+def strip_end(c: Column | str) -> Column:
+    """Without white space of any kind at the end."""
+    return F.rtrim(_col(c), F.lit(BLANKS))
 
 
 def collapse(c: Column | str) -> Column:

@@ -13,9 +13,13 @@ from corpusloom.functions import text as T
 from corpusloom.schemas import MOST_TOKENS, SECTION_NAMES, SMALL_TOKENS, TARGET_TOKENS, WORDS_PER_PIECE
 
 
+#: How names of sections begin, up to their first blank at most: few other lines do, and only those are looked at closely.
+_BEGINNINGS = sorted({name[:3] for name in SECTION_NAMES})
+
+
 def is_heading(line: Column) -> Column:
-    plain = F.lower(T.collapse(line))
-    return ~line.contains("|") & ~line.contains("!!") & plain.isin(*SECTION_NAMES)
+    begins = F.lower(F.substring(T.strip(line), 1, 3)).isin(*_BEGINNINGS)
+    return begins & ~line.contains("|") & ~line.contains("!!") & F.lower(T.collapse(line)).isin(*SECTION_NAMES)
 
 
 def _positions(items: Column, test) -> Column:
@@ -82,7 +86,7 @@ def pack_prose(text: Column) -> Column:
 
 def pack_rows(lines: Column) -> Column:
     """A table's lines packed to size."""
-    return T.pack(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+$", "")), MOST_TOKENS, "\n")
+    return T.pack(F.transform(lines, T.strip_end), MOST_TOKENS, "\n")
 
 
 def is_table(lines: Column) -> Column:

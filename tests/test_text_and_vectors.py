@@ -18,6 +18,15 @@ def test_decomposed_and_sanitized(spark):
     assert plain[None] is None and plain["a b"] == "a b" and plain["x\n\n\n\ny"] == "x\n\ny" and plain["漢字x"] == "x" and len(plain["é" * 2000]) == 50
 
 
+def test_blanks_are_those_of_the_pattern(spark):
+    df = spark.createDataFrame([(chr(k),) for k in range(1, 0xFFFF) if not 0xD800 <= k < 0xE000], "c string")
+    blank = F.regexp_replace("c", rf"(?U){T.BLANK}", "") == ""
+    assert df.where(blank != (T.strip("c") == "")).count() == 0
+    assert df.where(blank).count() == len(T.BLANKS)
+    odd = spark.createDataFrame([(x,) for x in ODD], "t string").select("t", T.strip("t").alias("s"), T.strip_end("t").alias("e")).collect()
+    assert all((r.s, r.e) == ((None, None) if r.t is None else (r.t.strip(), r.t.rstrip())) for r in odd)
+
+
 def test_numbers(spark):
     df = spark.createDataFrame([(x,) for x in ("12", " -3 ", "1.0", "x", "", None, "9" * 30)], "t string")
     assert [r[0] for r in df.select(T.whole_number("t")).collect()] == [12, -3, None, None, None, None, None]
