@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.documents import latest
-from corpusloom.schemas import ENTITY_TYPES, MEDALS, RELATIONS
+from corpusloom.schemas import ENTITY_TYPES, LABELS, MEDALS, RELATIONS
 
 #: How texts name games and venues.
 GAMES = r"(?i)([0-9]{4}\s+(?:Summer|Winter)(?:\s+(?:Olympics?|Games))?)"
@@ -32,6 +32,18 @@ def relation_rows(edges: DataFrame) -> DataFrame:
     return latest(rows, ["rel_id"], ["ingested_at"])
 
 
+def recognised(mentions: DataFrame, name: str = "name", label: str = "label", score: str | None = None, least: float = 0.4) -> DataFrame:
+    """Distinct ``name`` (lower case), ``type`` and ``slug`` of what a recogniser has found; a label that isn't known is an event.
+
+    Mentions that score below ``least``, or have no score where there is one to be had, and blank or null names
+    are left out.
+    """
+    types = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+    rows = mentions if score is None else mentions.where(F.col(score) >= least)
+    rows = rows.select(F.lower(T.strip(name)).alias("name"), F.coalesce(types[F.lower(label)], F.lit("Event")).alias("type")).where("name <> ''")
+    return rows.distinct().withColumn("slug", T.slug("name"))
+
+
 def vertices(entities: DataFrame) -> DataFrame:
     """One row for each id: the type and name of its last mention that has them, first mention, number of mentions, whether any is live."""
     rows = entity_rows(entities)
@@ -49,15 +61,15 @@ def edges(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return mentions.unionByName(has).unionByName(rel).distinct()
 
 
-def contract_errors(relations: DataFrame) -> DataFrame:
+def contract_errors(relations: DataFrame, contract: dict[str, tuple[str, str]] = RELATIONS) -> DataFrame:
     """rel_id and the first breach of the contract: ``end`` missing, unknown ``type`` or ``relation``, ``signature``, ``medal`` or ``ok``."""
     rows = relation_rows(relations)
-    allowed = F.array(*[F.lit(f"{r}:{s}:{t}") for r, (s, t) in RELATIONS.items()])
+    allowed = F.array(*[F.lit(f"{r}:{s}:{t}") for r, (s, t) in contract.items()])
     medal = F.col("medal")
     error = (
         F.when(F.col("source").isNull() | F.col("target").isNull(), "end")
         .when(F.col("source_type").isNull() | F.col("target_type").isNull(), "type")
-        .when(F.col("relation").isNull() | ~F.col("relation").isin(*RELATIONS), "relation")
+        .when(F.col("relation").isNull() | ~F.col("relation").isin(*contract), "relation")
         .when(~F.array_contains(allowed, F.concat_ws(":", "relation", "source_type", "target_type")), "signature")
         .when(medal.isNotNull() & ((F.col("relation") != "WON_BY") | ~medal.isin(*MEDALS)), "medal")
         .otherwise("ok")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import graph as G
 from corpusloom.plans import sql as S
-from corpusloom.schemas import ENTITY_TYPES, RELATIONS
-from corpusloom.session import table
+from corpusloom.schemas import ENTITY_TYPES, LABELS, RELATIONS
+from corpusloom.session import new_folder, table
+from corpusloom.sources import contract
 
 
 #: How many mentions of a type go with a chunk to be extracted.
@@ -64,6 +65,18 @@ def graph_contract_check(spark: SparkSession, d: str) -> DataFrame:
     return G.contract_errors(_r(spark, d))
 
 
+def graph_contract_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """The same check by a contract that was written to a file and loaded again."""
+    path = new_folder(spark, "contract")
+    spark.createDataFrame([(contract.to_json(ENTITY_TYPES, RELATIONS),)], "value string").coalesce(1).write.text(path)
+    return G.contract_errors(_r(spark, d), contract.load(spark, path)[1])
+
+
+def entity_recognised(spark: SparkSession, d: str) -> DataFrame:
+    """The stored mentions read as a recogniser's: types are labels."""
+    return G.recognised(_e(spark, d).withColumn("label", F.trim("type")))
+
+
 def graph_endpoint_check(spark: SparkSession, d: str) -> DataFrame:
     return G.endpoint_errors(_e(spark, d), _r(spark, d))
 
@@ -117,7 +130,7 @@ def region_of_largest_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = "slugify entity_dedup entity_merge entity_attributes relation_merge graph_vertices graph_edges graph_type_counts graph_contract_check graph_endpoint_check graph_verify edge_rewrite rule_part_of rule_at_venue rule_in_sport rule_participated llm_gate entity_chunks extraction_input multi_hop region_of_largest_order"
+    names = "slugify entity_dedup entity_merge entity_attributes relation_merge graph_vertices graph_edges graph_type_counts graph_contract_check graph_contract_loaded entity_recognised graph_endpoint_check graph_verify edge_rewrite rule_part_of rule_at_venue rule_in_sport rule_participated llm_gate entity_chunks extraction_input multi_hop region_of_largest_order"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -131,6 +144,8 @@ _REL = f"""r as (select distinct on (rel_id) * from (select rel_id, {S.key('sour
 _VERT = "v as (select id, max(type) as type, arg_max(name, (extracted_at, name)) filter (where name is not null) as name, min(extracted_at) as first_seen, count(*) as mentions, bool_or(deleted_at is null) as live from e group by all)"
 _EDGES = "g as (select chunk_id as src, 'MENTIONS_' || upper(type) as rel, id as dst, null::varchar as medal from e where chunk_id <> '' and type is not null union select doc_id, 'HAS_CHUNK', chunk_id, null from e where chunk_id <> '' and doc_id <> '' union select source, relation, target, medal from r where source is not null and target is not null)"
 _SLUG = "regexp_replace(left(regexp_replace(lower(trim({c})), '[^a-z0-9]+', '-', 'g'), 40), '^-+|-+$', '', 'g')"
+_CONTRACT = f"""with {_REL} select rel_id, case when source is null or target is null then 'end' when source_type is null or target_type is null then 'type' when relation is null or relation not in ({S.quoted(RELATIONS)}) then 'relation'
+            when relation || ':' || source_type || ':' || target_type not in ({S.quoted(f'{r}:{s}:{t}' for r, (s, t) in RELATIONS.items())}) then 'signature' when medal is not null and (relation <> 'WON_BY' or medal not in ('GOLD', 'SILVER', 'BRONZE')) then 'medal' else 'ok' end as error from r"""
 
 
 def _rule(pattern: str, relation: str) -> str:
@@ -148,8 +163,9 @@ def oracle_sql() -> dict[str, str]:
         "graph_vertices": f"with {_ENT}, {_VERT} select * from v",
         "graph_edges": f"with {_ENT}, {_REL}, {_EDGES} select * from g",
         "graph_type_counts": f"with {_ENT}, {_VERT} select type, count(*) as n, sum(mentions) as mentions from v group by all",
-        "graph_contract_check": f"""with {_REL} select rel_id, case when source is null or target is null then 'end' when source_type is null or target_type is null then 'type' when relation is null or relation not in ({S.quoted(RELATIONS)}) then 'relation'
-            when relation || ':' || source_type || ':' || target_type not in ({S.quoted(f'{r}:{s}:{t}' for r, (s, t) in RELATIONS.items())}) then 'signature' when medal is not null and (relation <> 'WON_BY' or medal not in ('GOLD', 'SILVER', 'BRONZE')) then 'medal' else 'ok' end as error from r""",
+        "graph_contract_check": _CONTRACT,
+        "graph_contract_loaded": _CONTRACT,
+        "entity_recognised": f"""with m as (select distinct lower({S.strip('name')}) as name, case lower(trim(type)) {' '.join(f"when '{x}' then '{t}'" for x, t in LABELS.items())} else 'Event' end as type from entities) select name, type, {_SLUG.format(c='name')} as slug from m where name <> ''""",
         "graph_endpoint_check": f"""with {_ENT}, {_REL}, s as (select relation, chunk_id, 'source' as side, source as id, source_type as type from r union all select relation, chunk_id, 'target', target, target_type from r), m as (select distinct id, type, chunk_id from e)
             select relation, side, case when exists (select 1 from m where m.id = s.id and m.type = s.type and m.chunk_id = s.chunk_id) then 'same_chunk' when exists (select 1 from m where m.id = s.id) then 'elsewhere' else 'nowhere' end as found, count(*) as n from s where id is not null group by all""",
         "graph_verify": f"with {_ENT}, {_REL}, {_VERT}, {_EDGES}, n as (select rel, 'source' as side, src as id from g where rel in ({S.quoted(RELATIONS)}) union all select rel, 'target', dst from g where rel in ({S.quoted(RELATIONS)})) select rel, side, count(*) as n_edges, count(distinct id) as n_ids from n where id not in (select id from v) group by all",

@@ -27,3 +27,12 @@ RELATIONS = {
     "PARTICIPATED_IN": ("Athlete", "Event"),
 }
 MEDALS = ("GOLD", "SILVER", "BRONZE")
+#: Labels of entity recognition, and their types.
+LABELS = {
+    "athlete": "Athlete", "person": "Athlete",
+    "country": "Country", "nation": "Country",
+    "venue": "Venue", "stadium": "Venue", "arena": "Venue", "gymnasium": "Venue", "oval": "Venue",
+    "sport": "Sport", "discipline": "Sport",
+    "event": "Event", "competition": "Event",
+    "olympic games": "OlympicGames", "olympics": "OlympicGames",
+}
