@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from corpusloom.operators import ranking
-from corpusloom.operators.retrieval import Nearest
+from corpusloom.operators.retrieval import Nearest, letter_vectors
 from corpusloom.plans import catalogue
 from tests.compared import DATA
 
@@ -77,8 +77,15 @@ def test_best_and_nearest_block_by_block():
     assert list(zip(row, found)) == [(r, x) for r in range(9) for x in nearest[r]]
 
 
+def test_letters(spark):
+    df = spark.createDataFrame([("a", "Zaz é-{`"), ("b", None), ("c", ""), ("d", "bİ")], "id string, t string")
+    found = {r.vec_id: r.embedding for r in letter_vectors(df, "id", "t").collect()}
+    assert found["b"] is None and sum(found["c"]) == 0
+    assert {k: {chr(97 + i): n for i, n in enumerate(found[k]) if n} for k in "ad"} == {"a": {"a": 1, "z": 2}, "d": {"b": 1, "i": 1}}
+
+
 #: Before, each term of a question met each text that has it as a row of a join; these ask for so many rankings.
-@pytest.mark.parametrize("name, rankings", [("rerank_deep", 2)])
+@pytest.mark.parametrize("name, rankings", [("rerank_deep", 2), ("hybrid", 1)])
 def test_no_row_for_each_posting(spark, monkeypatch, name, rankings):
     asked, ranked = [], ranking.Rankings._ranked
     monkeypatch.setattr(ranking.Rankings, "_ranked", lambda *a, **k: asked.append(ranked(*a, **k)) or asked[-1])
