@@ -85,7 +85,7 @@ def test_letters(spark):
 
 
 #: Before, each term of a question met each text that has it as a row of a join; these ask for so many rankings.
-@pytest.mark.parametrize("name, rankings", [("rerank_deep", 2), ("hybrid", 1), ("evidence_format_deep", 2), ("context_budget", 2), ("rrf_deep", 2), ("tfidf_topk", 1)])
+@pytest.mark.parametrize("name, rankings", [("rerank_deep", 2), ("hybrid", 1), ("evidence_format_deep", 2), ("context_budget", 2), ("rrf_deep", 2), ("tfidf_topk", 1), ("rerank", 2), ("context_budget_deep", 2), ("dedup_per_doc", 2), ("dedup_per_doc_deep", 2), ("evidence_format", 2), ("overlap_topk", 1), ("rrf", 2)])
 def test_no_row_for_each_posting(spark, monkeypatch, name, rankings):
     asked, ranked = [], ranking.Rankings._ranked
     monkeypatch.setattr(ranking.Rankings, "_ranked", lambda *a, **k: asked.append(ranked(*a, **k)) or asked[-1])
