@@ -109,3 +109,10 @@ def test_no_row_for_each_posting(spark, monkeypatch, name, rankings):
     catalogue.queries()[name](spark, f"{DATA}/sf0.001")
     assert len(asked) == rankings
     assert all("FlatMapCoGroupsInPandas" in x._jdf.queryExecution().executedPlan().toString() for x in asked)
+
+
+#: Before, found pairs and their ids were broadcast by the size of compressed files.
+@pytest.mark.parametrize("name", ["rerank", "rerank_deep", "hybrid"])
+def test_found_pairs_are_not_broadcast(spark, name):
+    plan = catalogue.queries()[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "BroadcastHashJoin" not in plan
