@@ -2,8 +2,9 @@
 
 import duckdb
 
+from corpusloom.operators import ranking
 from corpusloom.plans import catalogue
-from tests.compared import DATA, same_rows
+from tests.compared import DATA, connect, same_rows
 
 D = f"{DATA}/sf0.01"
 
@@ -26,3 +27,17 @@ def test_hybrid_asks_all_questions(spark, tmp_path):
     df = catalogue.queries()["hybrid"](spark, str(tmp_path))
     same_rows(df, con, catalogue.oracle_sql()["hybrid"])
     assert {r.qid for r in df.select("qid").collect()} == {*some, "e-22", "e-23"}
+
+
+#: A group of texts has not all of a ranking where there are more than ``GROUP_TEXTS``.
+def test_hybrid_of_many_groups_of_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranking, "GROUP_TEXTS", 60_000)
+    groups, rows = [], ranking._fused_rows
+    monkeypatch.setattr(ranking, "_fused_rows", lambda found, *a: groups.append(found) or rows(found, *a))
+    (tmp_path / "d").symlink_to(f"{DATA}/sf0.001")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same_rows(catalogue.queries()["hybrid"](spark, str(tmp_path / "d")), connect("sf0.001"), catalogue.oracle_sql()["hybrid"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(groups) == 1
